@@ -1 +1,6 @@
+"""Registered queries by name: (function of session and folder, DuckDB SQL or None)."""
 
+from .event_queries import QUERIES as _events
+from .message_queries import QUERIES as _messages
+
+QUERIES = {**_messages, **_events}
