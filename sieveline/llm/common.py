@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -104,15 +105,17 @@ class ChunkTable:
             self.reset()
         docs = list(docs)
         rows, chunks = self.rows, [c for d in docs for c in d]
-        new = list({c: None for c in chunks if c not in rows})
-        if new:
+        ids = np.fromiter(map(rows.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(ids < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([chunks[i] for i in missing]))
             made = self.make(new)
             counts = [len(x) for x in made]
             rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
             self.start.extend(self.flat.n + np.cumsum([0, *counts[:-1]]))
             self.count.extend(counts)
             self.flat.extend([v for x in made for v in x])
-        ids = np.fromiter(map(rows.__getitem__, chunks), np.int64, len(chunks))
+            ids[missing] = [rows[chunks[i]] for i in missing]
         each = self.count.view()[ids]
         ends = np.concatenate([[0], np.cumsum(each)])
         at = np.arange(ends[-1]) + np.repeat(self.start.view()[ids] - ends[:-1], each)

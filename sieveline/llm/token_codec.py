@@ -8,6 +8,11 @@ the bit offset of every BLOCK-th token: blocks are decoded independently of each
 
 from __future__ import annotations
 
+import functools
+import json
+import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -118,85 +123,172 @@ class Codebook:
         return out.reshape(-1)[:n]
 
 
+#: Characters below U+0250 whose NFC form is themselves and whose lower case does not depend on neighbours; white space as the
+#: tokenizer sees it.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]*")
+
+
 class Encoder:
-    """Whole texts to ids with a tokenizers file, the ids of chunks between spaces and line ends remembered.
+    """Whole texts to ids with a tokenizers file; the ids of pieces are remembered, up to a limit.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row.
+    The tokenizer drops white space and encodes each match of its splitting pattern by itself, so a text's ids are those of
+    its pieces in a row. Texts of plain characters are lower-cased and cut by the file's own pattern; other texts (marks,
+    scripts whose forms depend on neighbours, special tokens) are cut at spaces and line ends only, and each chunk goes to the
+    library as it is.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.table = ChunkTable(self._ids, np.int64)
-
-    def _ids(self, chunks: list[str | None]) -> list[list[int]]:
-        texts = [c for c in chunks if c is not None]
-        made = iter(self.tokenizer.encode_batch(texts, add_special_tokens=False))
-        return [[self.end_id] if c is None else next(made).ids for c in chunks]
+        self.pattern = _split_pattern(json.loads(self.tokenizer.to_str()))
+        self.table = ChunkTable(self._ids, np.int32, limit)
+
+    def _ids(self, pieces: list[str | None]) -> list:
+        out: list = []
+        for at in range(0, len(pieces), 5000):
+            part = pieces[at : at + 5000]
+            made = iter(self.tokenizer.encode_batch_fast([p for p in part if p is not None], add_special_tokens=False))
+            out += [[self.end_id] if p is None else next(made).ids for p in part]
+        return out
+
+    def _cut(self, text: str | None) -> list[str | None]:
+        if not text:
+            return [None]
+        if self.pattern is not None and "<|" not in text and _PLAIN.fullmatch(text):
+            pieces = self.pattern.findall(text.lower())
+        else:
+            pieces = text.replace("\n", " ").split(" ")
+        pieces.append(None)
+        return pieces
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, the end id after each, and the number of ids of each."""
-        return self.table.values([*(t.replace("\n", " ").split(" ") if t else ()), None] for t in texts)
+        return self.table.values(map(self._cut, texts))
+
+
+def _split_pattern(file: dict) -> re.Pattern | None:
+    """The splitting pattern, for plain characters, of a file that lower-cases, keeps matches only and then takes their bytes; else None."""
+    kinds = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    split = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in split] != ["Split", "ByteLevel"] or split[1]["use_regex"] or split[1]["add_prefix_space"]:
+        return None
+    if split[0]["behavior"] != "Removed" or not split[0]["invert"]:
+        return None
+    chars = [chr(c) for c in range(0x20, 0x250)]
+    pattern = split[0]["pattern"]["Regex"]
+    for name, kind in (("\\p{L}", "L"), ("\\p{N}", "N")):
+        pattern = pattern.replace(name, "".join(c for c in chars if unicodedata.category(c)[0] == kind))
+    return re.compile(pattern)
+
+
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
+
+
+_RAW = "part int, seq bigint, doc_ids array<bigint>, n_tokens array<bigint>, low binary, high binary"
+_RAW_TYPES = {"part": pa.int32(), "seq": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary()}
+_SEGMENT_TYPES = {"part": pa.int32(), "seq": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64()), "payload": pa.binary(), "checkpoints": pa.list_(pa.int64()), "n_ids": pa.int64()}
+
+
+def _row(types: dict[str, pa.DataType], **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values[n]], t) for n, t in types.items()], names=[*types])
+
+
+def _planes(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Low bytes, and the other 24 bits as shorts or longs: the planes compress better than whole numbers."""
+    ids = ids.astype(np.uint32)
+    high = ids >> 8
+    return ids.astype(np.uint8).tobytes(), high.astype(np.uint8).tobytes() if not len(high) or high.max() < 256 else high.astype("<u4").tobytes()
+
+
+def _from_planes(low: bytes, high: bytes) -> np.ndarray:
+    bottom = np.frombuffer(low, np.uint8)
+    top = np.frombuffer(high, np.uint8 if len(high) == len(low) else "<u4")
+    return (top.astype(np.int64) << 8) | bottom
+
+
+def _tokenise(ordered: DataFrame, tokenizer: str, segment_tokens: int) -> DataFrame:
+    """Runs of documents with their ids, in the order of the partitions and their rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, encoder, seq = TaskContext.get().partitionId(), shared_encoder(tokenizer), 0
+        names: list = []
+        sizes: list = []
+        held: list = []
+
+        def segment():
+            nonlocal seq
+            low, high = _planes(np.concatenate(held))
+            row = _row(_RAW_TYPES, part=part, seq=seq, doc_ids=list(names), n_tokens=list(sizes), low=low, high=high)
+            seq += 1
+            for x in (names, sizes, held):
+                x.clear()
+            return row
+
+        for b in batches:
+            texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
+            for i, j in steps(texts, 500_000):
+                found, n = encoder.encode(texts[i:j])
+                names += ids[i:j]
+                sizes += n.tolist()
+                held.append(found)
+                if sum(map(len, held)) >= segment_tokens:
+                    yield segment()
+        if held:
+            yield segment()
 
+    return ordered.mapInArrow(run, _RAW)
 
-def count_ids(docs: DataFrame, tokenizer: str) -> dict[int, int]:
-    """Occurrences of each token id over all texts (at most one entry per id of the vocabulary)."""
+
+def _count(raw: DataFrame) -> dict[int, int]:
+    """Occurrences of each id over all documents (at most one entry per id of the vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = Encoder(tokenizer), np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for b in batches:
-            texts = b["text"].to_pylist()
-            for i, j in steps(texts):
-                found = np.bincount(encoder.encode(texts[i:j])[0], minlength=len(total))
+            for k in range(b.num_rows):
+                found = np.bincount(_from_planes(b["low"][k].as_py(), b["high"][k].as_py()), minlength=len(total))
                 found[: len(total)] += total
                 total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("low", "high").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes docs (doc_id, text) into the two datasets `codebook` and `segments` under path, in ascending doc_id order.
 
-    Null and empty texts are documents of the end id alone. A null doc_id comes first; rows with equal ids are neighbours in
-    the order of their texts. An empty table writes no segments. Other columns are not read. Counts cover all texts.
+    Texts are tokenised once, into a dataset `raw` under path that is counted, coded and then deleted. Null and empty texts are
+    documents of the end id alone. A null doc_id comes first; rows with equal ids are neighbours in the order of their texts.
+    An empty table writes no segments. Other columns are not read. Counts cover all texts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    lengths = code_lengths(count_ids(rows, tokenizer))
+    _tokenise(rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text"), tokenizer, segment_tokens).write.option("compression", "zstd").parquet(f"{path}/raw")
+    raw = spark.read.schema(_RAW).parquet(f"{path}/raw")
+    lengths = code_lengths(_count(raw))
     spark.createDataFrame(sorted(lengths.items()) or [], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, book, seq, held = Encoder(tokenizer), Codebook(shared.value), 0, ([], [], [])
-
-        def segment():
-            nonlocal seq, held
-            ids = np.concatenate(held[2])
-            payload, checkpoints = book.encode(ids)
-            row = [[part], [seq], [held[0]], [held[1]], [payload], [checkpoints.tolist()], [len(ids)]]
-            seq, held = seq + 1, ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["part", "seq", "doc_ids", "n_tokens", "payload", "checkpoints", "n_ids"])
-
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
+        book = Codebook(shared.value)
         for b in batches:
-            texts, names = b["text"].to_pylist(), b["doc_id"].to_pylist()
-            for i, j in steps(texts):
-                ids, sizes = encoder.encode(texts[i:j])
-                held[0].extend(names[i:j])
-                held[1].extend(sizes.tolist())
-                held[2].append(ids)
-                if sum(map(len, held[2])) >= segment_tokens:
-                    yield segment()
-        if held[0]:
-            yield segment()
+            for k in range(b.num_rows):
+                ids = _from_planes(b["low"][k].as_py(), b["high"][k].as_py())
+                payload, checkpoints = book.encode(ids)
+                yield _row(_SEGMENT_TYPES, **{n: b[n][k].as_py() for n in ("part", "seq", "doc_ids", "n_tokens")}, payload=payload, checkpoints=checkpoints.tolist(), n_ids=len(ids))
 
-    rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
+    raw.mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
