@@ -1,14 +1,19 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
 Sets are the distinct five-word shingles of whole texts. Documents of one set are one class, found by a 128-bit key. Each class
-has TOKENS minwise tokens. The join recurses from the root of several independent trees: every node draws some positions of
-the minwise tokens by its own hash, and a class goes to the child (node, position, its token there). Classes of similarity s
-meet in a child with probability s for each position drawn. Small nodes are compared exhaustively. Large ones are linked to a
-pivot and then recurse, unless that has already put all their members into one component: then no comparison among them can
-change the result. Pairs are confirmed on full sets, which are made again from the texts of the classes in question only.
-
-Recall: with BRANCHES positions per node, a pair at the threshold is in a common child with probability 1 - 0.15 ** BRANCHES
-per node, and misses all TREES trees down to a depth of two with probability under 1e-8.
+has TOKENS minwise tokens and a sketch of one byte from each of SKETCH minwise values. The join recurses from the root of
+several independent trees: every node draws positions of the minwise tokens by its own hash, and a class goes to the child
+(node, position, its token there). Classes of similarity s meet in a child with probability s for each position drawn.
+
+Nodes of at most SMALL classes are compared exhaustively by sketch, in two passes: first each class with its nearest ones, then,
+where a node still holds several components, all pairs across components. Larger nodes are first linked to a pivot and within
+random blocks; then the classes outside the pivot's component are compared with all of the node, block by block, or the node
+recurses if those are many. Within one component no comparison can change the result. Pairs that the sketches leave are
+confirmed on full sets, which are made again from the texts of the classes in question only.
+
+Recall: a pair at the threshold is in a common child of one node with probability 1 - 0.15 ** BRANCHES[0], so that it misses
+all TREES trees at the first level with probability 1e-10; deeper levels only split nodes that are large and mixed. The
+sketch drops a pair at the threshold with probability 3e-5 (four standard deviations).
 """
 
 from __future__ import annotations
@@ -18,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +31,34 @@ from .common import ChunkTable, materialise, mix64, shingle_sets, steps, word_ha
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 85
 TOKENS = 64
+SKETCH = 256
 TREES = 4
-BRANCHES = 3
-#: Members up to which a node is compared exhaustively.
-SMALL = 20
+#: Positions drawn by a node at each level; at the last entry's level and below, that many on average.
+BRANCHES = (3, 3, 1.2)
+#: Classes up to which a node is compared exhaustively, and how many nearest ones of each the first pass confirms.
+SMALL = 400
+NEAREST = 3
+#: Comparisons by sketch, of a large node's classes outside the pivot's component with all, up to which it does not recurse.
+CROSS = 40_000_000
 #: Levels of recursion; nodes that are still large and mixed then are compared exhaustively in blocks.
-LEVELS = 10
+LEVELS = 12
 BLOCK = 64
-#: Equal minwise tokens, of TOKENS, that a pair needs to be confirmed on full sets: 5.6 standard deviations below the threshold.
-LEAST_EQUAL = 38
+#: Links that one task contracts at most.
+TASK_LINKS = 500_000
 #: Bits of the filter that picks the texts for confirmation (bounded: 2 MB, whatever the corpus).
 FILTER_BITS = 24
 
-_FEATURES = "doc_id bigint, n_shingles bigint, key binary, tokens binary"
-_SEEDS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FEATURES = "doc_id bigint, n_shingles bigint, key binary, tokens binary, sketch binary"
+_PAIR = "a binary, b binary"
+_MULTIPLY = (mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_ADD = mix64(np.arange(7001, 7001 + SKETCH, dtype=np.uint64)).astype(np.uint32)
+
+
+def least_equal(percent: int) -> int:
+    """Equal sketch bytes that a pair needs: four standard deviations below the expected number at the threshold."""
+    p = percent / 100
+    p += (1 - p) / 256
+    return int(SKETCH * p - 4 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
 def _chunk_words(chunks: list[bytes]) -> list[list[int]]:
@@ -58,62 +76,129 @@ def set_key(s: np.ndarray) -> bytes:
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
-    """The least hash under each of TOKENS functions, as 32 bits each."""
-    least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 512):
-        h = s[at : at + 512, None] ^ _SEEDS[None, :]
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        np.minimum(least, h.min(axis=0), out=least)
-    return (least >> np.uint64(32)).astype("<u4")
+    """The least value of the set's hashes under each of SKETCH linear functions modulo 2 ** 32."""
+    h = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SKETCH, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(h), 1024):
+        values = h[at : at + 1024, None] * _MULTIPLY
+        values += _ADD
+        np.minimum(least, values.min(axis=0), out=least)
+    return least
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = ChunkTable(_chunk_words)
+    table = ChunkTable(_chunk_words, limit=200_000)
     for b in batches:
-        texts, sizes, keys, tokens = b["text"].to_pylist(), [], [], []
+        texts, sizes, keys, tokens, sketches = b["text"].to_pylist(), [], [], [], []
         for i, j in steps(texts):
             for s in text_sets(table, texts[i:j]):
+                least = minwise(s) if len(s) else None
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-                tokens.append(minwise(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n_shingles", "key", "tokens"])
+                tokens.append(least[:TOKENS].tobytes() if len(s) else None)
+                sketches.append(least.astype(np.uint8).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, tokens, sketches)]], names=["doc_id", "n_shingles", "key", "tokens", "sketch"])
+
+
+def _stack(column: pa.Array, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
 def _children(level: int):
-    """Rows (node, key, n, tokens) to rows (node, key, n) of the children; a null node is the root of every tree."""
+    """Rows (node, key, n, tokens) to rows (node, key, kid, n) of the children; at level 0 the roots of all trees are the parents."""
+    wanted = BRANCHES[min(level, len(BRANCHES) - 1)]
+    draws = int(np.ceil(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(b["tokens"].to_pylist()), "<u4").reshape(-1, TOKENS)
+            tokens = _stack(b["tokens"], "<u4", TOKENS)
             if level == 0:
                 parents = np.tile(mix64(np.arange(1, TREES + 1, dtype=np.uint64)), (b.num_rows, 1))
             else:
                 parents = b["node"].to_numpy().astype(np.int64).view(np.uint64)[:, None]
-            out = []
-            for k in range(BRANCHES):
+            out, take = [], []
+            for k in range(draws):
                 drawn = mix64(parents + np.uint64(0x632BE59BD9B4E019 * (k + 1) % 2**64))
-                position = (drawn % np.uint64(TOKENS)).astype(np.int64)
-                value = np.take_along_axis(tokens, position, axis=1).astype(np.uint64)
+                value = np.take_along_axis(tokens, (drawn % np.uint64(TOKENS)).astype(np.int64), axis=1).astype(np.uint64)
                 out.append(mix64(drawn ^ mix64(value + np.uint64(0x2545F4914F6CDD1D))))
-            nodes = np.concatenate(out, axis=1)
-            rows = np.repeat(np.arange(b.num_rows), nodes.shape[1])
+                take.append((mix64(drawn) >> np.uint64(11)).astype(float) / 2.0**53 < wanted - k)  # the last draw happens in a share of the nodes
+            nodes, take = np.concatenate(out, axis=1), np.concatenate(take, axis=1)
+            rows = np.repeat(np.arange(b.num_rows), nodes.shape[1])[take.reshape(-1)]
             at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1).view(np.int64), pa.int64()), b["key"].take(at), b["n"].take(at)], names=["node", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1)[take.reshape(-1)].view(np.int64), pa.int64()), *[b[c].take(at) for c in ("key", "kid", "n")]], names=["node", "key", "kid", "n"])
 
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs (a, b, tokens of both) with enough equal minwise tokens."""
-    for x in batches:
-        if x.num_rows:
-            a, b = (np.frombuffer(b"".join(x[c].to_pylist()), "<u4").reshape(-1, TOKENS) for c in ("tokens_a", "tokens_b"))
-            x = x.filter(pa.array((a == b).sum(axis=1) >= LEAST_EQUAL))
-        yield x.select(["a", "b"])
+def _compare(percent: int, nearest: int | None):
+    """Rows (node, key, n, sketch, root) sorted by node to plausible pairs (a, b) of each node across roots; nearest: of each row only so many."""
+    need = least_equal(percent)
+
+    def pairs(keys: list[bytes], n: np.ndarray, sketch: np.ndarray, root: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        for size in np.unique(sizes):
+            i, j = np.triu_indices(size, 1)
+            runs = starts[sizes == size]
+            per = max(1, 40_000 // max(1, len(i)))
+            for at in range(0, len(runs), per):
+                x, y = ((runs[at : at + per, None] + z[None, :]).reshape(-1) for z in (i, j))
+                ok = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (root[x] != root[y])
+                x, y = x[ok], y[ok]
+                equal = np.concatenate([(sketch[x[k : k + 40_000]] == sketch[y[k : k + 40_000]]).sum(axis=1) for k in range(0, len(x), 40_000)] or [np.empty(0, int)])
+                x, y, equal = x[equal >= need], y[equal >= need], equal[equal >= need]
+                if nearest is not None and len(x):
+                    order = np.lexsort((x, -equal, y))
+                    x, y = x[order], y[order]
+                    top = np.arange(len(y)) - np.searchsorted(y, y) < nearest
+                    x, y = x[top], y[top]
+                if len(x):
+                    a, b = [keys[k] for k in x], [keys[k] for k in y]
+                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(a, b, strict=True)], pa.binary()), pa.array([max(p) for p in zip(a, b, strict=True)], pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(last: bool):
+            nonlocal held
+            t = pa.Table.from_batches(held).combine_chunks()
+            node = t["node"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            end = len(node) if last else starts[-1]
+            held = [] if last else t.slice(end).to_batches()
+            if not end:
+                return
+            starts = starts[starts < end]
+            t = t.slice(0, end)
+            roots = np.unique(np.array([bytes(x) for x in t["root"].to_pylist()], "S32"), return_inverse=True)[1] if nearest is None else np.arange(end)
+            yield from pairs(t["key"].to_pylist(), t["n"].to_numpy(), _stack(t["sketch"], np.uint8, SKETCH), roots, starts, np.diff(np.append(starts, end)))
+
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+                if rows >= 20_000:
+                    yield from done(False)
+                    rows = 0
+        if held:
+            yield from done(True)
+
+    return run
+
+
+def _alike(percent: int):
+    """Keeps pairs (a, b, sketches of both) with enough equal bytes."""
+    need = least_equal(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                a, b = (_stack(x[c], np.uint8, SKETCH) for c in ("sketch_a", "sketch_b"))
+                x = x.filter(pa.array((a == b).sum(axis=1) >= need))
+            yield x.select(["a", "b"])
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -162,11 +247,42 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     return rows.mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of one task to links (key, least key of its component within the task)."""
+    parent: dict[bytes, bytes] = {}
+
+    def root(k: bytes) -> bytes:
+        top = k
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[k] != top:
+            parent[k], k = top, parent[k]
+        return top
+
+    for x in batches:
+        for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    keys = list(parent)
+    for at in range(0, len(keys), 50_000):
+        part = keys[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(k) for k in part], pa.binary())], names=["key", "root"])
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """key, root: the least key of each key's component, for keys in links (a, b); alternating large and small stars.
+    """key, root: the least key of each key's component, for keys in links (a, b).
 
-    Each round is two joins with partial sums and is written to the shared folder; no list of neighbours is ever gathered.
+    Links are first contracted to stars within tasks of at most TASK_LINKS links; with more tasks than one, the stars are joined
+    by alternating large and small stars. Each of those rounds is two joins with partial sums, written to the shared folder; no
+    list of neighbours is ever gathered.
     """
+    n = links.count()
+    tasks = max(1, -(-n // TASK_LINKS))
+    forest = materialise((links.coalesce(1) if tasks == 1 else links.repartition(tasks)).mapInArrow(_forest, "key binary, root binary"), "forest")
+    if tasks == 1:
+        return forest
+    links = forest.select(F.col("key").alias("a"), F.col("root").alias("b"))
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
@@ -185,76 +301,112 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("key"), F.col("v").alias("root"))).distinct()
 
 
-def _pairs_in(small: DataFrame) -> DataFrame:
-    """Pairs (a < b) within nodes (node, key, n) of at most SMALL members, whose sizes allow a link."""
-    groups = small.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("g"))
-    left = groups.select("g", F.posexplode("g").alias("i", "x"))
-    return left.select(F.col("x.key").alias("a"), F.col("x.n").alias("na"), F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("y")).select("a", "na", F.col("y.key").alias("b"), F.col("y.n").alias("nb"))
-
-
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    return pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) in either order to distinct pairs a < b whose sizes and sketches allow a link."""
+    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sketch_a, sketch_b = (classes.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+    return pairs.join(sketch_a, "a").join(sketch_b, "b").mapInArrow(_alike(percent), _PAIR)
 
 
-def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _blocked_pairs(members: DataFrame) -> DataFrame:
     """All pairs of different components within large nodes, by pairs of blocks of about BLOCK members: the exact way for the rest."""
     sized = members.join(members.groupBy("node").count(), "node").withColumn("blocks", F.ceil(F.col("count") / BLOCK))
     sized = sized.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
     left = sized.select("node", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     right = sized.select("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return _possible(left.join(right, ["node", "i", "j"]).where("ra <> rb"), percent)
+    return left.join(right, ["node", "i", "j"]).where("ra <> rb").select("a", "na", "b", "nb")
+
+
+def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members, with root, of the nodes that hold several components."""
+    members = members.drop("root")
+    rooted = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = rooted.withColumn("_r", F.xxhash64("root"))
+    nodes = rooted.groupBy("node").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi")).where("lo <> hi").select("node")
+    return rooted.drop("_r").join(nodes, "node")
+
+
+def _outsiders(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs (node, key, n, root) that compare each class outside its pivot's component with all of the node; and the other nodes' rows.
+
+    mixed has node, key, kid, pivot, n and root. A run is a block of about 200 outsiders with a block of about 200 of all, so
+    that no task gets a whole node. Nodes whose outsiders times members exceed CROSS are left for the recursion.
+    """
+    pivots = mixed.where("kid = pivot").select("node", F.col("root").alias("_p"))
+    rows = mixed.join(pivots, "node").withColumn("_out", F.col("root") != F.col("_p"))
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_m"), F.count_if("_out").alias("_o"))
+    rows = rows.join(sizes, "node")
+    few = rows.where(F.col("_m") * F.col("_o") <= CROSS).withColumns({"_i": F.ceil(F.col("_o") / 200), "_j": F.ceil(F.col("_m") / 200)})
+    i, j = F.pmod(F.xxhash64("key", F.lit(1)), F.col("_i")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("_j"))
+    zero = F.lit(0).cast("bigint")
+    left = few.where("_out").select("node", "key", "n", "root", i.alias("i"), F.explode(F.sequence(zero, F.col("_j") - 1)).alias("j"))
+    right = few.select("node", "key", "n", "root", F.explode(F.sequence(zero, F.col("_i") - 1)).alias("i"), j.alias("j"))
+    run = F.xxhash64("node", "i", "j").alias("node")
+    return left.unionAll(right.select(left.columns)).select(run, "key", "n", "root"), rows.where(F.col("_m") * F.col("_o") > CROSS).select("node", "key", "kid", "n")
+
+
+class _Links:
+    """Confirmed links and the components they make, as the join goes on."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
+        self.docs, self.classes, self.percent = docs, classes, percent
+        self.roots: DataFrame | None = None
+        self.tried: DataFrame | None = None
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Confirms those of the distinct plausible pairs that have not been tried and are not in one component."""
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        if self.roots is not None:
+            ra, rb = (self.roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+            pairs = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            return
+        self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        sets = _sets_of(self.docs, self.classes, wanted)
+        set_a, set_b = (sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        found = materialise(pairs.join(set_a, "a").join(set_b, "b").mapInArrow(_confirmed(self.percent), _PAIR), "links")
+        if not found.isEmpty():
+            self.roots = components(found if self.roots is None else found.unionAll(self.roots.select(F.col("key").alias("a"), F.col("root").alias("b"))))
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """key, root over the classes (key, n, tokens, doc_id) that have a link to another."""
-    bare = classes.select("key", "n")
-    roots = links = tried = None
-    nodes = classes.select(F.lit(0).cast("bigint").alias("node"), "key", "n", "tokens")
-    for level in range(LEVELS + 1):
-        final = level == LEVELS
-        if final:
-            pairs = _blocked_pairs(members, percent).distinct()  # noqa: F821  the last level's unresolved members
-        else:
-            members = materialise(nodes.mapInArrow(_children(level), "node bigint, key binary, n bigint"), "nodes")
-            if level:
-                members = members.distinct()
-            counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("key", "n")).alias("pivot")).where("size > 1")
-            shared = materialise(members.join(counts, "node"), "members")
-            small = _pairs_in(shared.where(F.col("size") <= SMALL).select("node", "key", "n"))
-            star = shared.where(F.col("size") > SMALL).select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("pivot.key").alias("b"), F.col("pivot.n").alias("nb"))
-            pairs = _possible(small.unionAll(star), percent).distinct()
-        if roots is not None:
-            pairs = _apart(pairs, roots)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tokens_a, tokens_b = (classes.select(F.col("key").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "ab")
-        pairs = materialise(pairs.join(tokens_a, "a").join(tokens_b, "b").mapInArrow(_alike, "a binary, b binary"), "pairs")
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-            sets = _sets_of(docs, classes, wanted).persist(StorageLevel.DISK_ONLY)
-            set_a, set_b = (sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-            found = materialise(pairs.join(set_a, "a").join(set_b, "b").mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
-            sets.unpersist()
-            known = found if roots is None else found.unionAll(roots.select(F.col("key").alias("a"), F.col("root").alias("b")))
-            roots = components(known)
-            tried = pairs if tried is None else tried.unionAll(pairs)
-        if final:
+    """key, root over the classes (key, n, tokens, sketch, doc_id) that have a link to another."""
+    links, kid = _Links(docs, classes, percent), F.xxhash64("key").alias("kid")
+    sketches = classes.select("key", "sketch")
+    nodes = classes.select(F.lit(0).cast("bigint").alias("node"), "key", kid, "n", "tokens")
+    for level in range(LEVELS):
+        members = materialise(nodes.mapInArrow(_children(level), "node bigint, key binary, kid bigint, n bigint"), "nodes")
+        counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("kid").alias("pivot")).where("size > 1")
+        shared = materialise(members.join(counts, "node"), "members")
+        small, large = shared.where(F.col("size") <= SMALL).drop("size", "pivot"), shared.where(F.col("size") > SMALL)
+        has_large = not large.isEmpty()
+        by_node = lambda m: m.join(sketches, "key").select("node", "key", "n", "sketch", "root").repartition("node").sortWithinPartitions("node")
+        own = small.withColumn("root", F.col("key")).select("node", "key", "n", "root")
+        if has_large:
+            block = F.xxhash64("node", F.pmod("kid", F.ceil(F.col("size") / SMALL * 1.25)))
+            own = own.unionAll(large.select(block.alias("node"), "key", "n", F.col("key").alias("root")))
+        near = by_node(own).mapInArrow(_compare(percent, NEAREST), _PAIR)
+        if has_large:
+            pivots = large.where("kid = pivot").select("node", F.col("key").alias("b"), F.col("n").alias("nb"))
+            near = near.unionAll(_plausible(large.select("node", F.col("key").alias("a"), F.col("n").alias("na")).join(pivots, "node"), classes, percent))
+        links.confirm(near.distinct())
+        runs = _mixed(small, links.roots).select("node", "key", "n", "root")
+        if has_large:
+            outside, many = _outsiders(materialise(_mixed(large, links.roots), "mixed"))
+            runs = runs.unionAll(outside)
+        links.confirm(by_node(runs).mapInArrow(_compare(percent, None), _PAIR).distinct())
+        if not has_large:
             break
-        large = shared.where(F.col("size") > SMALL).select("node", "key", "n")
-        large = large.withColumn("root", F.col("key")) if roots is None else large.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = large.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-        members = materialise(large.join(mixed, "node"), "mixed")
+        members = materialise(_mixed(many, links.roots), "mixed")
         if members.isEmpty():
             break
-        nodes = members.select("node", "key", "n").join(classes.select("key", "tokens"), "key").select("node", "key", "n", "tokens")
-    return roots if roots is not None else bare.select("key", F.col("key").alias("root")).limit(0)
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    ra, rb = (roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    joined = pairs.join(ra, "a", "left").join(rb, "b", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        nodes = members.join(classes.select("key", "tokens"), "key").select("node", "key", "kid", "n", "tokens")
+    else:
+        links.confirm(_plausible(_blocked_pairs(members), classes, percent))
+    return links.roots if links.roots is not None else classes.select("key", F.col("key").alias("root")).limit(0)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -268,7 +420,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(texts.mapInArrow(_feature_rows, _FEATURES), "features")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = materialise(classes, "classes")
     roots = similar_classes(texts, classes, percent)
     rooted = classes.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

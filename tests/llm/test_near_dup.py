@@ -60,12 +60,13 @@ def result(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=str)
 
 
-@pytest.mark.parametrize(("small", "levels"), [(20, 10), (3, 2)])
+@pytest.mark.parametrize(("small", "levels"), [(400, 12), (20, 12), (5, 2)])
 def test_against_brute_force(documents, monkeypatch, small, levels):
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "LEVELS", levels)
     monkeypatch.setattr(near_dup, "BLOCK", 8)
-    rows = corpus(small)
+    monkeypatch.setattr(near_dup, "CROSS", 4_000_000 if small == 20 else 50)
+    rows = corpus(small % 50)
     assert result(near_duplicates(documents(rows))) == brute(rows)
 
 
@@ -88,7 +89,9 @@ def test_drop_keeps_one_of_each_group_and_all_columns(documents):
     assert kept.where("doc_id is null").count() == 1
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("task_links", [500_000, 40])
+def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, task_links):
+    monkeypatch.setattr(near_dup, "TASK_LINKS", task_links)
     key = lambda i: int(i).to_bytes(4, "big")
     links = [(key(i), key(i + 1)) for i in range(60)] + [(key(1000), key(1000 + i)) for i in range(1, 200)]
     got = {bytes(r.key): bytes(r.root) for r in components(spark.createDataFrame(links, "a binary, b binary")).collect()}
