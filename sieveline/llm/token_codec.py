@@ -137,7 +137,7 @@ class Encoder:
     library as it is.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, limit: int = 500_000):
+    def __init__(self, path: str, end_id: int = END_ID, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
