@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join over minwise tokens.
 
 Sets are the distinct five-word shingles of whole texts. Documents of one set are one class, found by a 128-bit key. Each class
-has TOKENS minwise tokens and a sketch of one byte from each of SKETCH minwise values. The join recurses from the root of
+has TOKENS minwise tokens and a sketch of two bits from each of SKETCH minwise values. The join recurses from the root of
 several independent trees: every node draws positions of the minwise tokens by its own hash, and a class goes to the child
 (node, position, its token there). Classes of similarity s meet in a child with probability s for each position drawn.
 
@@ -9,7 +9,8 @@ Nodes of at most SMALL classes are compared exhaustively by sketch, in two passe
 where a node still holds several components, all pairs across components. Larger nodes are first linked to a pivot and within
 random blocks; then the classes outside the pivot's component are compared with all of the node, block by block, or the node
 recurses if those are many. Within one component no comparison can change the result. Pairs that the sketches leave are
-confirmed on full sets, which are made again from the texts of the classes in question only.
+confirmed on full sets, which are made again from the texts of the classes in question only. Pairs that hang together meet in
+one run, or in runs of two blocks of their classes each, so that a set is sent once a run and not once a pair.
 
 Recall: a pair at the threshold is in a common child of one node with probability 1 - 0.15 ** BRANCHES[0], so that it misses
 all TREES trees at the first level with probability 1e-10; deeper levels only split nodes that are large and mixed. The
@@ -26,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, materialise, mix64, shingle_sets, steps, word_hashes
+from .common import ChunkTable, discard, materialise, mix64, shingle_sets, steps, word_hashes
 
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 85
 TOKENS = 64
 SKETCH = 256
+SKETCH_BYTES = SKETCH // 4
 TREES = 4
 #: Positions drawn by a node at each level; at the last entry's level and below, that many on average.
 BRANCHES = (3, 3, 1.2)
@@ -43,6 +45,11 @@ CROSS = 40_000_000
 #: Levels of recursion; nodes that are still large and mixed then are compared exhaustively in blocks.
 LEVELS = 12
 BLOCK = 64
+#: Outsiders, and members that they are compared with, in one run.
+OUTSIDERS = 1000
+#: Classes and shingles of one block of a confirming run, about.
+RUN_CLASSES = 512
+RUN_SHINGLES = 250_000
 #: Links that one task contracts at most.
 TASK_LINKS = 500_000
 #: Bits of the filter that picks the texts for confirmation (bounded: 2 MB, whatever the corpus).
@@ -55,9 +62,9 @@ _ADD = mix64(np.arange(7001, 7001 + SKETCH, dtype=np.uint64)).astype(np.uint32)
 
 
 def least_equal(percent: int) -> int:
-    """Equal sketch bytes that a pair needs: four standard deviations below the expected number at the threshold."""
+    """Equal sketch values that a pair needs: four standard deviations below the expected number at the threshold."""
     p = percent / 100
-    p += (1 - p) / 256
+    p += (1 - p) / 4
     return int(SKETCH * p - 4 * (SKETCH * p * (1 - p)) ** 0.5)
 
 
@@ -86,6 +93,20 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return least
 
 
+def sketch_of(least: np.ndarray) -> bytes:
+    """Two bits of each minwise value, four values a byte."""
+    two = ((least * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint8).reshape(-1, 4)
+    return (two << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def equal_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the SKETCH values are equal, for rows of sketches as 64-bit words."""
+    odd = x ^ y
+    odd |= odd >> np.uint64(1)
+    odd &= np.uint64(0x5555555555555555)
+    return SKETCH - np.bitwise_count(odd).sum(axis=1, dtype=np.int64)
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = ChunkTable(_chunk_words, limit=200_000)
     for b in batches:
@@ -96,7 +117,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 tokens.append(least[:TOKENS].tobytes() if len(s) else None)
-                sketches.append(least.astype(np.uint8).tobytes() if len(s) else None)
+                sketches.append(sketch_of(least) if len(s) else None)
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, tokens, sketches)]], names=["doc_id", "n_shingles", "key", "tokens", "sketch"])
 
 
@@ -104,6 +125,10 @@ def _stack(column: pa.Array, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return _stack(column, "<u8", SKETCH_BYTES // 8)
+
+
 def _children(level: int):
     """Rows (node, key, n, tokens) to rows (node, key, kid, n) of the children; at level 0 the roots of all trees are the parents."""
     wanted = BRANCHES[min(level, len(BRANCHES) - 1)]
@@ -145,7 +170,7 @@ def _compare(percent: int, nearest: int | None):
                 x, y = ((runs[at : at + per, None] + z[None, :]).reshape(-1) for z in (i, j))
                 ok = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (root[x] != root[y])
                 x, y = x[ok], y[ok]
-                equal = np.concatenate([(sketch[x[k : k + 40_000]] == sketch[y[k : k + 40_000]]).sum(axis=1) for k in range(0, len(x), 40_000)] or [np.empty(0, int)])
+                equal = np.concatenate([equal_values(sketch[x[k : k + 40_000]], sketch[y[k : k + 40_000]]) for k in range(0, len(x), 40_000)] or [np.empty(0, int)])
                 x, y, equal = x[equal >= need], y[equal >= need], equal[equal >= need]
                 if nearest is not None and len(x):
                     order = np.lexsort((x, -equal, y))
@@ -171,7 +196,7 @@ def _compare(percent: int, nearest: int | None):
             starts = starts[starts < end]
             t = t.slice(0, end)
             roots = np.unique(np.array([bytes(x) for x in t["root"].to_pylist()], "S32"), return_inverse=True)[1] if nearest is None else np.arange(end)
-            yield from pairs(t["key"].to_pylist(), t["n"].to_numpy(), _stack(t["sketch"], np.uint8, SKETCH), roots, starts, np.diff(np.append(starts, end)))
+            yield from pairs(t["key"].to_pylist(), t["n"].to_numpy(), _sketches(t["sketch"]), roots, starts, np.diff(np.append(starts, end)))
 
         rows = 0
         for b in batches:
@@ -188,32 +213,79 @@ def _compare(percent: int, nearest: int | None):
 
 
 def _alike(percent: int):
-    """Keeps pairs (a, b, sketches of both) with enough equal bytes."""
+    """Keeps pairs (a, b, sketches of both) with enough equal values."""
     need = least_equal(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                a, b = (_stack(x[c], np.uint8, SKETCH) for c in ("sketch_a", "sketch_b"))
-                x = x.filter(pa.array((a == b).sum(axis=1) >= need))
+                x = x.filter(pa.array(equal_values(_sketches(x["sketch_a"]), _sketches(x["sketch_b"])) >= need))
             yield x.select(["a", "b"])
 
     return run
 
 
+class _Forest:
+    """Disjoint sets of keys, each named by its least key."""
+
+    def __init__(self):
+        self.parent: dict[bytes, bytes] = {}
+
+    def root(self, k: bytes) -> bytes:
+        parent, top = self.parent, k
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while parent[k] != top:
+            parent[k], k = top, parent[k]
+        return top
+
+    def join(self, a: bytes, b: bytes) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+
 def _confirmed(percent: int):
+    """Rows sorted by run and pair, the sets (a, set) of a run before its pairs (a, b), to links that join its components."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, forest = None, {}, _Forest()
         for x in batches:
-            good = []
-            for a, b in zip(x["set_a"], x["set_b"], strict=True):
-                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield x.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+            links: list[tuple[bytes, bytes]] = []
+            for at, a, b, s in zip(x["run"].to_pylist(), x["a"].to_pylist(), x["b"].to_pylist(), x["set"], strict=True):
+                if at != now:
+                    now, sets, forest = at, {}, _Forest()
+                if b is None:
+                    sets[a] = np.frombuffer(s.as_py(), "<u8")
+                elif forest.root(a) != forest.root(b):
+                    m, n = len(sets[a]), len(sets[b])
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * both >= percent * (m + n - both):
+                        forest.join(a, b)
+                        links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _placed(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the run that confirms them (run, a, b), and the keys that each run needs (run, key).
+
+    A cluster of pairs that hang together is cut into blocks of about RUN_CLASSES classes and RUN_SHINGLES shingles; a run
+    takes the pairs between two blocks, or within one.
+    """
+    clusters = components(pairs)
+    sized = clusters.join(classes.select("key", "n"), "key")
+    blocks = F.greatest(F.ceil(F.sum("n") / RUN_SHINGLES), F.ceil(F.count(F.lit(1)) / RUN_CLASSES)).alias("blocks")
+    place = sized.join(sized.groupBy("root").agg(blocks), "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"))
+    place = materialise(place, "places")
+    of_a, of_b = (place.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"), F.col("block").alias(f"block_{c}")) for c in "ab")
+    run = F.xxhash64("root_a", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("run")
+    rows = materialise(pairs.join(of_a, "a").join(of_b, "b").select(run, "a", "b"), "runs")
+    discard(place)
+    return rows, rows.select("run", F.col("a").alias("key")).unionAll(rows.select("run", "b")).distinct()
+
+
 def _filter_words(ids: DataFrame) -> np.ndarray:
     """A bit for the hash of every doc_id: at most 2 ** FILTER_BITS / 64 numbers reach the driver."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
@@ -249,25 +321,14 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of one task to links (key, least key of its component within the task)."""
-    parent: dict[bytes, bytes] = {}
-
-    def root(k: bytes) -> bytes:
-        top = k
-        while (up := parent.setdefault(top, top)) != top:
-            top = up
-        while parent[k] != top:
-            parent[k], k = top, parent[k]
-        return top
-
+    forest = _Forest()
     for x in batches:
         for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    keys = list(parent)
+            forest.join(a, b)
+    keys = list(forest.parent)
     for at in range(0, len(keys), 50_000):
         part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([root(k) for k in part], pa.binary())], names=["key", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([forest.root(k) for k in part], pa.binary())], names=["key", "root"])
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -329,14 +390,14 @@ def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _outsiders(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Runs (node, key, n, root) that compare each class outside its pivot's component with all of the node; and the other nodes' rows.
 
-    mixed has node, key, kid, pivot, n and root. A run is a block of about 200 outsiders with a block of about 200 of all, so
+    mixed has node, key, kid, pivot, n and root. A run is a block of about OUTSIDERS outsiders with a block of as many of all, so
     that no task gets a whole node. Nodes whose outsiders times members exceed CROSS are left for the recursion.
     """
     pivots = mixed.where("kid = pivot").select("node", F.col("root").alias("_p"))
     rows = mixed.join(pivots, "node").withColumn("_out", F.col("root") != F.col("_p"))
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_m"), F.count_if("_out").alias("_o"))
     rows = rows.join(sizes, "node")
-    few = rows.where(F.col("_m") * F.col("_o") <= CROSS).withColumns({"_i": F.ceil(F.col("_o") / 200), "_j": F.ceil(F.col("_m") / 200)})
+    few = rows.where(F.col("_m") * F.col("_o") <= CROSS).withColumns({"_i": F.ceil(F.col("_o") / OUTSIDERS), "_j": F.ceil(F.col("_m") / OUTSIDERS)})
     i, j = F.pmod(F.xxhash64("key", F.lit(1)), F.col("_i")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("_j"))
     zero = F.lit(0).cast("bigint")
     left = few.where("_out").select("node", "key", "n", "root", i.alias("i"), F.explode(F.sequence(zero, F.col("_j") - 1)).alias("j"))
@@ -364,12 +425,15 @@ class _Links:
         if pairs.isEmpty():
             return
         self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        sets = _sets_of(self.docs, self.classes, wanted)
-        set_a, set_b = (sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        found = materialise(pairs.join(set_a, "a").join(set_b, "b").mapInArrow(_confirmed(self.percent), _PAIR), "links")
+        rows, needed = _placed(pairs, self.classes)
+        sets = _sets_of(self.docs, self.classes, needed.select("key").distinct())
+        none = F.lit(None).cast("binary")
+        both = needed.join(sets, "key").select("run", F.col("key").alias("a"), none.alias("b"), "set").unionAll(rows.select("run", "a", "b", none.alias("set")))
+        found = both.repartition("run").sortWithinPartitions("run", F.col("b").isNotNull()).mapInArrow(_confirmed(self.percent), _PAIR)
+        found = materialise(found, "links")
         if not found.isEmpty():
             self.roots = components(found if self.roots is None else found.unionAll(self.roots.select(F.col("key").alias("a"), F.col("root").alias("b"))))
+        discard(rows, found)
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -378,9 +442,10 @@ def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT)
     sketches = classes.select("key", "sketch")
     nodes = classes.select(F.lit(0).cast("bigint").alias("node"), "key", kid, "n", "tokens")
     for level in range(LEVELS):
-        members = materialise(nodes.mapInArrow(_children(level), "node bigint, key binary, kid bigint, n bigint"), "nodes")
-        counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("kid").alias("pivot")).where("size > 1")
-        shared = materialise(members.join(counts, "node"), "members")
+        drawn = materialise(nodes.mapInArrow(_children(level), "node bigint, key binary, kid bigint, n bigint"), "nodes")
+        counts = drawn.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("kid").alias("pivot")).where("size > 1")
+        shared = materialise(drawn.join(counts, "node"), "members")
+        discard(drawn)
         small, large = shared.where(F.col("size") <= SMALL).drop("size", "pivot"), shared.where(F.col("size") > SMALL)
         has_large = not large.isEmpty()
         by_node = lambda m: m.join(sketches, "key").select("node", "key", "n", "sketch", "root").repartition("node").sortWithinPartitions("node")
@@ -395,12 +460,15 @@ def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT)
         links.confirm(near.distinct())
         runs = _mixed(small, links.roots).select("node", "key", "n", "root")
         if has_large:
-            outside, many = _outsiders(materialise(_mixed(large, links.roots), "mixed"))
+            mixed = materialise(_mixed(large, links.roots), "mixed")
+            outside, many = _outsiders(mixed)
             runs = runs.unionAll(outside)
         links.confirm(by_node(runs).mapInArrow(_compare(percent, None), _PAIR).distinct())
         if not has_large:
+            discard(shared)
             break
         members = materialise(_mixed(many, links.roots), "mixed")
+        discard(shared, mixed)
         if members.isEmpty():
             break
         nodes = members.join(classes.select("key", "tokens"), "key").select("node", "key", "kid", "n", "tokens")
