@@ -32,7 +32,7 @@ from .common import ChunkTable, discard, materialise, mix64, shingle_sets, steps
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 85
 TOKENS = 64
-SKETCH = 256
+SKETCH = 512
 SKETCH_BYTES = SKETCH // 4
 TREES = 4
 #: Positions drawn by a node at each level; at the last entry's level and below, that many on average.
