@@ -14,6 +14,8 @@ from sieveline.llm.near_dup import drop_near_duplicates
 from sieveline.llm.sharding import shard_documents
 
 SHARDS = 8
+#: Documents are near duplicates from this percent of similarity on; op7 has its own.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
