@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +39,36 @@ def latest_per_key(rows: DataFrame, key: str, ts: str, *columns: str) -> DataFra
 def fifo_survivors(puts: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
     """Keys held after all puts by insertion order: the capacity + 1 with the latest first insertion (evicted before each put above capacity).
 
-    Exact for keys that do not return after their eviction; such a key counts by its first insertion.
+    Exact for keys that do not return after their eviction; such a key counts by its first insertion. fifo_replay is exact for all.
     """
     firsts = puts.groupBy(key).agg(F.min(order).alias("first"))
     return newest(firsts, capacity + 1, F.desc("first"), F.desc(key))
 
 
+def fifo_replay(puts: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
+    """key, first: the keys that a bounded map holds after all puts in order, and the put that inserted each.
+
+    A put that finds more than capacity keys first evicts the one inserted longest ago; a key that is held then keeps its place,
+    and one that returns after its eviction is inserted anew. What is held depends on all puts before, so one task replays them;
+    rows stream through it sorted, and its state is capacity + 1 keys.
+    """
+    kinds = {f.name: f.dataType for f in puts.schema}
+    schema = f"`{key}` {kinds[key].simpleString()}, first {kinds[order].simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types = {}, None
+        for b in batches:
+            types = b.schema.types
+            for k, at in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+                if len(held) > capacity:
+                    del held[next(iter(held))]
+                held.setdefault(k, at)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((held.keys(), held.values()), types, strict=True)], names=[key, "first"])
+
+    return puts.select(key, order).repartition(1).sortWithinPartitions(order, key).mapInArrow(run, schema)
+
+
 def payload_status(hash_: Column, simhash: Column, rung: Column, attempt: Column, limit: int = 30) -> Column:
     """HTTP-like status of a write: 400 bad hash, 429 over the limit, 422 bad payload, else 200."""
     names = [r for r, _, _ in RUNGS]

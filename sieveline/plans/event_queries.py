@@ -155,6 +155,10 @@ def fifo_evict(spark, d):
     return cache.fifo_survivors(_events(spark, d), "user_id", "event_id", 50).select("user_id", "first")
 
 
+def fifo_evict_replay(spark, d):
+    return cache.fifo_replay(_events(spark, d), "user_id", "event_id", 50)
+
+
 def tumbling_counts(spark, d):
     return windows.tumbling(_events(spark, d), "6 hours")
 
@@ -191,6 +195,7 @@ QUERIES = {
     "schema_violations": (schema_violations, "SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT coalesce(value > 0, false) THEN 'value_positive' END, CASE WHEN event_type NOT IN ('signup', 'purchase', 'view', 'click') THEN 'known_type' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'has_props' END, CASE WHEN NOT coalesce(json_extract_string(props, '$.k')::INTEGER < 50, false) THEN 'small_k' END], lambda x: x IS NOT NULL)) AS rule FROM events) GROUP BY 1"),
     "fixed_window_rate_limit": (fixed_window_rate_limit, _LIMIT),
     "fifo_evict": (fifo_evict, "SELECT user_id, min(event_id) AS first FROM events GROUP BY 1 ORDER BY first DESC, user_id DESC LIMIT 51"),
+    "fifo_evict_replay": (fifo_evict_replay, None),
     "tumbling_counts": (tumbling_counts, "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"),
     "sliding_counts": (sliding_counts, "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 DAY * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events, range(0, 2) t(k) GROUP BY 1, 2"),
     "sessionize": (sessionize, _SESSIONS),
