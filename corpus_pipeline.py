@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sieveline.llm.common import scratch_dir, table
 from sieveline.llm.decontaminate import remove_leaks
 from sieveline.llm.language_id import fit, reject_unknown, training_rows
-from sieveline.llm.mixing import sample_mix
+from sieveline.llm.mixing import sample_copies
 from sieveline.llm.near_dup import drop_near_duplicates
 from sieveline.llm.sharding import shard_documents
 
@@ -34,8 +34,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the raked source, language and topic weights."""
-    return sample_mix(docs)
+    """Samples documents to the raked source, language and topic weights; those wanted more than once come in copies."""
+    return sample_copies(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def plan_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(docs with _source, _lang, _topic, _n_tokens and _u added, cells with probabilities). Columns of those names are replaced."""
+    """(docs with _source, _lang, _topic, _n_tokens and _u added, cells with docs and probabilities). Columns of those names are replaced."""
     marked = docs.withColumn("_n_tokens", token_count(F.col("text")))
     marked = marked.withColumns({
         "_source": F.coalesce(F.col("source"), F.lit(_NONE)), "_lang": F.coalesce(F.col("lang"), F.lit(_NONE)),
@@ -115,16 +115,30 @@ def plan_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budge
     cells = marked.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     cells = materialise(cells, "cells")
     raked = rake(cells.drop("docs"), targets or natural_targets(cells))
+    raked = raked.join(_small(cells.drop("tokens"), cells.count()), list(DIMENSIONS))
     return marked, materialise(probabilities(raked, budget), "cells")
 
 
+def copies_of(rate: Column, n_tokens: Column, u: Column) -> Column:
+    """How often a document is in the sample: its rate, rounded up or down by u, so that the expected number is the rate.
+
+    Texts without tokens add nothing to any share and come once at most.
+    """
+    copies = F.floor(rate) + (u < rate - F.floor(rate)).cast("bigint")
+    return F.when(n_tokens > 0, copies).otherwise(F.least(copies, F.lit(1).cast("bigint")))
+
+
 def _with_rates(marked: DataFrame, cells: DataFrame) -> DataFrame:
     rates = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("weight").alias("_cell_weight"), F.col("rate").alias("_rate"), F.col("probability").alias("_probability"))
     return marked.join(_small(rates, cells.count()), [f"_{d}" for d in DIMENSIONS])
 
 
 def mix_weights(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 7) -> DataFrame:
-    """Per document: doc_id, source, lang, topic, n_tokens, rate, probability, kept.
+    """Per document: doc_id, source, lang, topic, n_tokens, rate, probability, kept, copies.
+
+    copies realises rate, also above 1: weighted by it, token shares meet the targets in expectation. kept is copies > 0; on its
+    own it cannot raise a cell beyond its natural tokens, so that shares of the kept rows stay near the natural ones where one
+    group dominates.
 
     A null source or language is the value "(none)" with a share of its own; null and empty texts have topic "empty" and no
     tokens, and are kept with probability min(1, rate). Rows with equal ids are kept or dropped together. An empty table gives
@@ -136,10 +150,24 @@ def mix_weights(docs: DataFrame, targets: dict[str, DataFrame] | None = None, bu
     return rated.select(
         "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"),
         F.col("_rate").alias("rate"), F.col("_probability").alias("probability"), (F.col("_u") < F.col("_probability")).alias("kept"),
+        copies_of(F.col("_rate"), F.col("_n_tokens"), F.col("_u")).alias("copies"),
     )
 
 
 def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 7) -> DataFrame:
-    """The sampled rows of docs, all columns."""
+    """The sampled rows of docs, each once, all columns."""
     marked, cells = plan_mix(docs, targets, budget, seed)
     return _with_rates(marked, cells).where(F.col("_u") < F.col("_probability")).select(*docs.columns)
+
+
+def sample_copies(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = BUDGET, seed: int = 7) -> DataFrame:
+    """The rows of docs to the raked weights, all columns: rows wanted more than once come in copies, so that the targets are met.
+
+    The expected number of rows is `share` of those of docs.
+    """
+    marked, cells = plan_mix(docs, targets, seed=seed)
+    s = cells.agg(F.sum("docs").alias("docs"), F.sum(F.col("docs") * F.col("rate")).alias("wanted")).first()
+    scale = share * s["docs"] / s["wanted"] if s["wanted"] else 0.0
+    copies = copies_of(F.col("_rate") * F.lit(scale), F.col("_n_tokens"), F.col("_u")).cast("int")
+    rows = _with_rates(marked, cells).withColumn("_copies", copies).where("_copies > 0")
+    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
