@@ -74,6 +74,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 ANCHORS = ("licens", "licenc", "copyright", "rights reserved", "public domain", "redistribution", "permission is hereby")
+#: Features of at least this weight over the unknown class are telling, unless all their words are ordinary ones or numbers.
+TELLING = 0.5
+ORDINARY = frozenset(
+    "a above all also and any are as associated at be been binary by can charge claimed clause code compliance conditions confidential contains copy "
+    "creative dealing deal dedicated details disclaimer documentation domain either except file files following for form forms foundation free from "
+    "general granted has hereby holder identifier in international into is it kind later lesser library list may met modification modify must "
+    "nc no not notice obtain obtaining of only or org part permission permitted person prior program project proprietary provided public "
+    "publication published redistribute reproduced reserved restriction retain rights sa see software source subject terms text that the this "
+    "to under universal use uses v version with without work written you your attribution available commercial non nd released".split()
+)
+#: Words that tell only in a pair: alone they are words of other languages or topics.
+PAIRED = frozenset(("mit", "cc", "commons", "warranty"))
 UNKNOWN = "unknown"
 #: Share of the best template's n-grams that a paragraph must hold.
 CONFIRM = 0.6
@@ -165,28 +177,94 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def scan_licenses(docs: DataFrame, model: LicenceModel | None = None, confirm: float = CONFIRM) -> DataFrame:
-    """One row per paragraph (line) that speaks of a licence: doc_id, paragraph (from 1), family, probability, overlap, text.
+@functools.lru_cache(maxsize=1)
+def telling_features() -> tuple[str, ...]:
+    """The model's features that a paragraph of a licence may be known by where it has no anchor."""
+    model = train()
+    odd = lambda w: w not in ORDINARY and not w.isdigit()
+    strong = [g for g, w in model.weights.items() if max(w[:-1]) - w[-1] >= TELLING]
+    alone = {g for g in strong if " " not in g and odd(g) and g not in PAIRED}
+    pairs = {g for g in strong if " " in g and any(map(odd, g.split())) and not alone & set(g.split())}
+    return tuple(sorted(g for g in alone | pairs if not any(a in g for a in ANCHORS)))
 
-    family is the model's where its probability reaches the calibrated threshold and the paragraph holds the `confirm` share of
-    the n-grams of one of that family's templates (overlap); else "unknown". Null, empty and anchorless texts give no rows;
-    repeated rows give theirs each; a null doc_id stays null; an empty table gives no rows. Other columns are not read.
-    """
-    model = model or train()
-    has_anchor = lambda c: functools.reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(x)) for x in ANCHORS])
-    rows = docs.select("doc_id", F.col("text").alias("_text")).where(has_anchor(F.col("_text")))
-    rows = rows.select("doc_id", F.posexplode(F.split("_text", r"\r?\n")).alias("_at", "_line")).where(has_anchor(F.col("_line")))
-    rows = rows.select("doc_id", (F.col("_at") + 1).alias("paragraph"), F.col("_line").alias("text"), grams_column(F.col("_line")).alias("_grams"))
+
+def gate_pattern() -> str:
+    """What a lower-cased text must hold to be scored: an anchor, or a telling feature between bounds of words."""
+    words = "|".join("[^a-z0-9]+".join(g.split()) for g in telling_features())
+    return f"{'|'.join(ANCHORS)}|(?<![a-z0-9])(?:{words})(?![a-z0-9])"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _score(text: Column, model: LicenceModel, confirm: float) -> Column:
+    """struct(family, probability, overlap) of a text."""
     zero = _literal(model.bias, "array<double>")
     weights = _literal(model.weights, "map<string,array<double>>")
-    known = F.array_intersect(F.col("_grams"), F.map_keys(weights))
-    logits = F.aggregate(known, zero, lambda acc, g: F.zip_with(acc, F.try_element_at(weights, g), lambda a, b: a + b))
-    rows = rows.withColumn("_logits", logits)
-    top = F.array_max("_logits")
-    rows = rows.select("doc_id", "paragraph", "text", "_grams", F.array_position("_logits", top).cast("int").alias("_best"), (1 / F.aggregate(F.col("_logits"), F.lit(0.0), lambda a, z: a + F.exp(z - F.array_max("_logits")))).alias("probability"))
+    names = _literal(list(model.families), "array<string>")
     templates = _literal([[grams_of(t) for t in TEMPLATES.get(f, ())] for f in model.families], "array<array<array<string>>>")
-    overlap = F.coalesce(F.array_max(F.transform(F.element_at(templates, F.col("_best")), lambda t: F.size(F.array_intersect(t, F.col("_grams"))) / F.size(t))), F.lit(0.0))
-    rows = rows.withColumn("overlap", overlap)
-    sure = (F.col("probability") >= model.threshold) & (F.col("overlap") >= confirm)
-    family = F.when(sure, F.element_at(_literal(list(model.families), "array<string>"), F.col("_best"))).otherwise(UNKNOWN)
-    return rows.select("doc_id", "paragraph", family.alias("family"), "probability", "overlap", "text")
+
+    def named(grams: Column, logits: Column) -> Column:
+        top = F.array_max(logits)
+        best = F.array_position(logits, top).cast("int")
+        probability = 1 / F.aggregate(logits, F.lit(0.0), lambda a, z: a + F.exp(z - top))
+        overlap = F.coalesce(F.array_max(F.transform(F.element_at(templates, best), lambda t: F.size(F.array_intersect(t, grams)) / F.size(t))), F.lit(0.0))
+        family = lambda p: F.when((p["probability"] >= model.threshold) & (p["overlap"] >= confirm), F.element_at(names, p["best"])).otherwise(UNKNOWN)
+        return _let(F.struct(best.alias("best"), probability.alias("probability"), overlap.alias("overlap")), lambda p: F.struct(family(p).alias("family"), p["probability"].alias("probability"), p["overlap"].alias("overlap")))
+
+    def scored(grams: Column) -> Column:
+        known = F.array_intersect(grams, F.map_keys(weights))
+        logits = F.aggregate(known, zero, lambda acc, g: F.zip_with(acc, F.try_element_at(weights, g), lambda a, b: a + b))
+        return _let(logits, lambda z: named(grams, z))
+
+    return _let(grams_column(text), scored)
+
+
+def _newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that the optimiser computes once and does not copy into its uses."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def scan_licenses(docs: DataFrame, model: LicenceModel | None = None, confirm: float = CONFIRM) -> DataFrame:
+    """One row per paragraph that speaks of a licence: doc_id, paragraph (number of its first line, from 1), family, probability, overlap, text.
+
+    Lines that hold an anchor or a telling feature are scored each. Between the lines that are named so and blank lines, two or
+    more lines that hold one, also across a line's end, are scored as one paragraph: it is a row where it is named, in the place
+    of its lines, or where no line of it holds one by itself. family is the model's where its probability reaches the calibrated
+    threshold and the paragraph holds the `confirm` share of the n-grams of one of that family's templates (overlap); else
+    "unknown". Null and empty texts, and those without anchor and telling feature, give no rows; repeated rows give theirs each; a
+    null doc_id stays null; an empty table gives no rows. Other columns are not read.
+    """
+    model = model or train()
+    gate = lambda c: F.lower(c).rlike(gate_pattern())
+    rows = docs.select("doc_id", F.col("text").alias("_text")).where(gate(F.col("_text")))
+    # blocks end at the line end before a blank line: each separator is one line end
+    rows = _once(rows, "_blocks", F.split("_text", r"\n(?=[^\S\n]*(?:\n|$))")).drop("_text")
+    blocks = F.filter(F.transform("_blocks", lambda b, i: F.struct(i.alias("i"), b.alias("text"))), lambda b: gate(b["text"]))
+    blocks = F.transform(blocks, lambda b: F.struct(F.aggregate(F.slice(F.col("_blocks"), F.lit(1), b["i"]), F.lit(1), lambda n, x: n + _newlines(x) + 1).alias("first"), F.split(b["text"], r"\r?\n").alias("lines")))
+    rows = rows.select("doc_id", F.explode(blocks).alias("_block")).select("doc_id", F.col("_block.first").alias("_first"), F.col("_block.lines").alias("_lines"))
+    rows = _once(rows, "_scores", F.transform("_lines", lambda x: F.when(gate(x), _score(x, model, confirm))))
+    ends = F.transform(F.filter(F.transform("_scores", lambda s, i: F.struct(i.alias("i"), s["family"].alias("f"))), lambda s: F.coalesce(s["f"] != UNKNOWN, F.lit(False))), lambda s: s["i"])
+    rows = _once(rows, "_ends", F.concat(F.array(F.lit(-1)), ends, F.array(F.size("_lines"))))
+    # each part: the lines after one end, with the named line that ends it
+    rows = rows.select("doc_id", "_first", "_lines", "_scores", "_ends", F.explode(F.sequence(F.lit(1), F.size("_ends") - 1)).alias("_k"))
+    low, high = F.element_at("_ends", F.col("_k")), F.element_at("_ends", F.col("_k") + 1)
+    part = lambda c: F.slice(F.col(c), low + 2, high - low - 1)
+    rows = rows.select("doc_id", (F.col("_first") + low + 1).alias("_first"), part("_lines").alias("_lines"), part("_scores").alias("_scores"),
+        F.get("_lines", high).alias("_named"), F.get("_scores", high).alias("_named_score"))
+    rows = _once(rows, "_whole", F.array_join("_lines", "\n"))
+    full = F.size(F.filter("_lines", lambda x: x.rlike(r"\S"))) > 1
+    rows = _once(rows, "_score", F.when(full & gate(F.col("_whole")), _score(F.col("_whole"), model, confirm)))
+    found = lambda at, score, text: F.struct(at.cast("int").alias("paragraph"), score["family"].alias("family"), score["probability"].alias("probability"), score["overlap"].alias("overlap"), text.alias("text"))
+    blank = F.size(F.split(F.regexp_extract("_whole", r"^((?:[^\S\n]*\n)*)", 1), "\n")) - 1
+    whole = F.array(found(F.col("_first") + blank, F.col("_score"), F.trim(F.col("_whole"))))
+    lines = F.filter(F.transform("_lines", lambda x, i: found(F.col("_first") + i, F.get("_scores", i), x)), lambda r: r["family"].isNotNull())
+    one = F.col("_score").isNotNull() & ((F.col("_score.family") != UNKNOWN) | (F.size(lines) == 0))
+    named = F.when(F.col("_named_score").isNotNull(), F.array(found(F.col("_first") + F.size("_lines"), F.col("_named_score"), F.col("_named")))).otherwise(F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double,text:string>>"))
+    return rows.select("doc_id", F.explode(F.concat(F.when(one, whole).otherwise(lines), named)).alias("_r")).select("doc_id", "_r.*")
