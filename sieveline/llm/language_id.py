@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,10 @@ FIT_DOCS = 20_000
 #: Most frequent words, and most frequent n-grams of each length, that a model keeps at most.
 FIT_WORDS = 200_000
 SMOOTH = 0.5
+#: Words that must be known for a text's language to count as known, as a share of its words, and n-grams of an unseen word that
+#: must be known for that word to count, as a share of its n-grams of this length.
+MIN_KNOWN = 0.5
+KNOWN_GRAM = 3
 
 _WORD = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")
 _COUNTS = "lang string, word string, n long"
@@ -54,6 +58,14 @@ class LanguageModel:
                 return self.gram_logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
+    def knows(self, word: str) -> bool:
+        """Whether a word, or the MIN_KNOWN share of its n-grams of length KNOWN_GRAM, was seen in training."""
+        if word in self.words:
+            return True
+        table, padded = self.grams.get(KNOWN_GRAM, {}), f" {word} "
+        found = [padded[i : i + KNOWN_GRAM] in table for i in range(len(padded) - KNOWN_GRAM + 1)]
+        return bool(found) and sum(found) >= MIN_KNOWN * len(found)
+
 
 def _logs(counts: dict[str, np.ndarray], limit: int) -> tuple[dict[str, int], np.ndarray]:
     kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:limit]
@@ -182,11 +194,42 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefi
     return kept.mapInArrow(run, schema)
 
 
+def known_words(model: LanguageModel, texts: list[str | None], seen: dict[str, tuple[int, int]], limit: int = 300_000) -> list[tuple[int, int]]:
+    """Per text the number of its words that the model knows, and of its words; `seen` remembers white-space tokens up to a limit."""
+    out = []
+    for t in texts:
+        if len(seen) > limit:
+            seen.clear()
+        known = total = 0
+        for c in t.split() if t else ():
+            if (n := seen.get(c)) is None:
+                words = words_of(c)
+                n = seen[c] = (sum(map(model.knows, words)), len(words))
+            known, total = known + n[0], total + n[1]
+        out.append((known, total))
+    return out
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(F.pmod(id_crc(F.col("doc_id")), F.lit(5)) != 0)
 
 
-def reject_unknown(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least min_score; undetermined texts go."""
-    names = docs.columns
-    return predict(docs, model, prefix="__lid_").where((F.col("__lid_lang_pred") != "und") & (F.col("__lid_score") >= min_score)).select(*names)
+def reject_unknown(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, min_known: float = MIN_KNOWN) -> DataFrame:
+    """The documents whose language is known: undetermined texts go, and those of which the model knows less than min_known of the words.
+
+    The share of known words depends on neither priors nor length. Where it suffices, the language must also have min_score
+    when all languages are equally likely beforehand, so that no decision follows the mix of the corpus.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, priors=np.zeros(len(model.langs))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, seen = Scorer(shared.value), {}
+        for b in batches:
+            texts, kept = b["text"].to_pylist(), []
+            for i, j in steps(texts):
+                langs, scores = scorer.predict(texts[i:j])
+                known = known_words(shared.value, texts[i:j], seen)
+                kept += [x != "und" and s >= min_score and k >= min_known * n for x, s, (k, n) in zip(langs, scores, known, strict=True)]
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
