@@ -87,10 +87,11 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_closure(merges: DataFrame, kept: DataFrame, max_steps: int = 64) -> DataFrame:
+def merge_closure(merges: DataFrame, kept: DataFrame, max_steps: int = 1024) -> DataFrame:
     """token: the kept tokens and, to a fixed point, the parts of every merge that makes a token in the set.
 
-    merges (left, right, result), kept (token). Each step joins only the tokens that were new in the last.
+    merges (left, right, result), kept (token). Each step joins only the tokens of the last. Spark raises where max_steps levels
+    do not reach the fixed point.
     """
     spark = merges.sparkSession
     merges.createOrReplaceTempView("_merges")
@@ -99,7 +100,7 @@ def merge_closure(merges: DataFrame, kept: DataFrame, max_steps: int = 64) -> Da
         WITH RECURSIVE c(token, step) MAX RECURSION LEVEL {max_steps} AS (
           SELECT token, 0 FROM _kept
           UNION ALL
-          SELECT part, step + 1 FROM (SELECT c.step, explode(array(m.left, m.right)) AS part FROM c JOIN _merges m ON m.result = c.token) WHERE step < {max_steps - 1}
+          SELECT part, step + 1 FROM (SELECT c.step, explode(array(m.left, m.right)) AS part FROM c JOIN _merges m ON m.result = c.token)
         ) SELECT DISTINCT token FROM c""")
 
 

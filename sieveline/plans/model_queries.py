@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decode
-from ..operators import calibrate, dataset, evals, windows
+from ..operators import calibrate, dataset, evals, vocabulary, windows
 from ..sources import dimensions as dim
 
 
@@ -243,6 +243,23 @@ def vocab_prune(spark, d):
     return dataset.prune_vocabulary(vocab, vocab.where("id % 3 = 0").select("token"))
 
 
+def _tokenizer_file() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def vocab_prune_corpus(spark, d):
+    return vocabulary.prune_by_corpus(spark.read.parquet(f"{d}/documents.parquet"), "text", _tokenizer_file())[0]
+
+
+def vocab_drift(spark, d):
+    docs, tokenizer = spark.read.parquet(f"{d}/documents.parquet"), _tokenizer_file()
+    _, pruned, new = vocabulary.prune_by_corpus(docs, "text", tokenizer)
+    return vocabulary.drift(docs, "text", tokenizer, pruned, new)
+
+
 def sequence_layout(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     rows = docs.select("doc_id", F.explode(F.array(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), F.ascii))).alias("state"))
@@ -280,5 +297,7 @@ QUERIES = {
     "word_frequency_topk": (word_frequency_topk, r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100"),
     "merge_closure": (merge_closure, _CLOSURE),
     "vocab_prune": (vocab_prune, "SELECT token, id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT p_name AS token, min(p_partkey) AS id FROM part GROUP BY 1) WHERE id % 3 = 0"),
+    "vocab_prune_corpus": (vocab_prune_corpus, None),
+    "vocab_drift": (vocab_drift, None),
     "sequence_layout": (sequence_layout, None),
 }
