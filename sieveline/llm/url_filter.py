@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,6 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 
 DAMPING = 0.85
-MAX_ITERATIONS = 30
 TOLERANCE = 1e-6
 #: A host is blocked if its distrust exceeds its trust by more than that of an unlinked host with this share of blocked pages.
 BLOCK_SHARE = 0.5
@@ -57,12 +57,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").count().withColumnRenamed("count", "n")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_iterations: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from seeds (host, trust_seed, distrust_seed) and edges (src, dst, n).
 
     trust = (1 - damping) * seed + damping * sum over linking hosts of their trust by their share of links; distrust the same
     with the links reversed, so that it comes from the hosts a host links to. Iterates until no value moves by more than
-    tolerance. Each iteration is written to the shared folder: a lost executor repeats one iteration, not all.
+    tolerance. The sum of all moves shrinks by damping at least, so that at most log(tolerance / sum of the first values) /
+    log(damping) iterations are needed; max_iterations replaces that bound. Raises where the values still move by more after it.
+    Each iteration is written to the shared folder: a lost executor repeats one iteration, not all.
     """
     out_sum = edges.groupBy("src").agg(F.sum("n").alias("src_n"))
     in_sum = edges.groupBy("dst").agg(F.sum("n").alias("dst_n"))
@@ -75,6 +77,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_
     state = materialise(state, "host-trust")
     if edges.isEmpty():
         return state.select("host", "trust", "distrust")
+    if max_iterations is None:
+        start = state.agg(F.sum(F.col("trust") + F.col("distrust"))).first()[0] or 0.0
+        max_iterations = 1 + max(1, math.ceil(math.log(tolerance / max(start, tolerance)) / math.log(damping)))
     for _ in range(max_iterations):
         scores = state.select("host", "trust", "distrust")
         down = edges.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("down") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
@@ -87,6 +92,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, max_
         if state.agg(F.max("moved")).first()[0] <= tolerance:
             break
         state = state.drop("moved")
+    else:
+        raise RuntimeError(f"trust still moves by more than {tolerance} after {max_iterations} iterations")
     return state.select("host", "trust", "distrust")
 
 
