@@ -5,12 +5,15 @@ has TOKENS minwise tokens and a sketch of two bits from each of SKETCH minwise v
 several independent trees: every node draws positions of the minwise tokens by its own hash, and a class goes to the child
 (node, position, its token there). Classes of similarity s meet in a child with probability s for each position drawn.
 
-Nodes of at most SMALL classes are compared exhaustively by sketch, in two passes: first each class with its nearest ones, then,
-where a node still holds several components, all pairs across components. Larger nodes are first linked to a pivot and within
-random blocks; then the classes outside the pivot's component are compared with all of the node, block by block, or the node
-recurses if those are many. Within one component no comparison can change the result. Pairs that the sketches leave are
-confirmed on full sets, which are made again from the texts of the classes in question only. Pairs that hang together meet in
-one run, or in runs of two blocks of their classes each, so that a set is sent once a run and not once a pair.
+A node of at most SMALL classes is compared exhaustively: sketches tell which of its classes hang together by plausible pairs,
+and each such cluster is confirmed on full sets, all of its pairs at once. Larger nodes are first cut into random blocks, each
+with the node's pivot; then the classes outside the pivot's component are compared with all of the node, block by block, or
+the node recurses if those are many. Within one component no comparison can change the result.
+
+No pair ever leaves a task. What goes from step to step is a row for each class of a cluster, and a star of links for each
+component found in it. The same cluster met in several nodes is confirmed once; the clusters of the first tree come first, so
+that those of the others are confirmed only if they still hold several components. Full sets are made from texts once for the
+classes that a cluster names, in one scan more than that for the features.
 
 Recall: a pair at the threshold is in a common child of one node with probability 1 - 0.15 ** BRANCHES[0], so that it misses
 all TREES trees at the first level with probability 1e-10; deeper levels only split nodes that are large and mixed. The
@@ -37,25 +40,26 @@ SKETCH_BYTES = SKETCH // 4
 TREES = 4
 #: Positions drawn by a node at each level; at the last entry's level and below, that many on average.
 BRANCHES = (3, 3, 1.2)
-#: Classes up to which a node is compared exhaustively, and how many nearest ones of each the first pass confirms.
+#: Classes up to which a node is compared exhaustively.
 SMALL = 400
-NEAREST = 3
 #: Comparisons by sketch, of a large node's classes outside the pivot's component with all, up to which it does not recurse.
 CROSS = 40_000_000
-#: Levels of recursion; nodes that are still large and mixed then are compared exhaustively in blocks.
+#: Levels of recursion; nodes that are still large and mixed at the last one are compared exhaustively, block by block.
 LEVELS = 12
-BLOCK = 64
 #: Outsiders, and members that they are compared with, in one run.
-OUTSIDERS = 1000
-#: Classes and shingles of one block of a confirming run, about.
-RUN_CLASSES = 512
-RUN_SHINGLES = 250_000
+OUTSIDERS = 500
+#: Shingles of the sets that are confirmed together, about; a larger cluster is confirmed by pairs of its blocks.
+RUN_SHINGLES = 1_000_000
+#: Shingles that one step of the confirmation counts.
+COLUMNS = 8192
 #: Links that one task contracts at most.
 TASK_LINKS = 500_000
-#: Bits of the filter that picks the texts for confirmation (bounded: 2 MB, whatever the corpus).
-FILTER_BITS = 24
+#: Bits of the filter that picks the texts for confirmation: so many for each class wanted, up to 2 ** FILTER_BITS (16 MB).
+FILTER_EACH = 16
+FILTER_BITS = 27
 
-_FEATURES = "doc_id bigint, n_shingles bigint, key binary, tokens binary, sketch binary"
+_FEATURES = "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, tokens binary, sketch binary"
+_CLUSTER = "turn int, cluster bigint, key binary"
 _PAIR = "a binary, b binary"
 _MULTIPLY = (mix64(np.arange(1, SKETCH + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = mix64(np.arange(7001, 7001 + SKETCH, dtype=np.uint64)).astype(np.uint32)
@@ -118,7 +122,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 keys.append(set_key(s) if len(s) else None)
                 tokens.append(least[:TOKENS].tobytes() if len(s) else None)
                 sketches.append(sketch_of(least) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, tokens, sketches)]], names=["doc_id", "n_shingles", "key", "tokens", "sketch"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (keys, tokens, sketches)]], names=["doc_id", "text_hash", "n_shingles", "key", "tokens", "sketch"])
 
 
 def _stack(column: pa.Array, dtype: str, width: int) -> np.ndarray:
@@ -130,7 +134,10 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def _children(level: int):
-    """Rows (node, key, n, tokens) to rows (node, key, kid, n) of the children; at level 0 the roots of all trees are the parents."""
+    """Rows (node, key, kid, n, tokens) to rows (node, turn, key, kid, n) of the children.
+
+    At level 0 the roots of all trees are the parents, and turn is 0 in the first tree and 1 in the others; below it is 0.
+    """
     wanted = BRANCHES[min(level, len(BRANCHES) - 1)]
     draws = int(np.ceil(wanted))
 
@@ -149,19 +156,40 @@ def _children(level: int):
                 value = np.take_along_axis(tokens, (drawn % np.uint64(TOKENS)).astype(np.int64), axis=1).astype(np.uint64)
                 out.append(mix64(drawn ^ mix64(value + np.uint64(0x2545F4914F6CDD1D))))
                 take.append((mix64(drawn) >> np.uint64(11)).astype(float) / 2.0**53 < wanted - k)  # the last draw happens in a share of the nodes
-            nodes, take = np.concatenate(out, axis=1), np.concatenate(take, axis=1)
-            rows = np.repeat(np.arange(b.num_rows), nodes.shape[1])[take.reshape(-1)]
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1)[take.reshape(-1)].view(np.int64), pa.int64()), *[b[c].take(at) for c in ("key", "kid", "n")]], names=["node", "key", "kid", "n"])
+            turns = np.tile(np.minimum(np.arange(parents.shape[1]), 1), (b.num_rows, draws)).reshape(-1)
+            nodes, take = np.concatenate(out, axis=1), np.concatenate(take, axis=1).reshape(-1)
+            at = pa.array(np.repeat(np.arange(b.num_rows), nodes.shape[1])[take])
+            columns = [pa.array(nodes.reshape(-1)[take].view(np.int64), pa.int64()), pa.array(turns[take], pa.int32()), *[b[c].take(at) for c in ("key", "kid", "n")]]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "turn", "key", "kid", "n"])
 
     return run
 
 
-def _compare(percent: int, nearest: int | None):
-    """Rows (node, key, n, sketch, root) sorted by node to plausible pairs (a, b) of each node across roots; nearest: of each row only so many."""
+def _merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives the ends of all edges (x, y), and what had their labels, the least label of their component."""
+    while len(x):
+        a, b = label[x], label[y]
+        on = a != b
+        if not on.any():
+            return
+        x, y, low, high = x[on], y[on], np.minimum(a, b)[on], np.maximum(a, b)[on]
+        np.minimum.at(label, high, low)
+        while (up := label[label]).tolist() != label.tolist():
+            label[:] = up
+
+
+def _screen(percent: int):
+    """Rows (run, turn, key, n, sketch, root) sorted by run to the clusters (turn, cluster, key) of each run.
+
+    A cluster is the classes of a run that hang together by pairs of different roots whose sizes and sketches allow a link;
+    its name is a hash of its keys. One of more than RUN_SHINGLES shingles becomes one cluster for each pair of its blocks.
+    """
     need = least_equal(percent)
 
-    def pairs(keys: list[bytes], n: np.ndarray, sketch: np.ndarray, root: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    def named(rows: np.ndarray, hashes: np.ndarray) -> int:
+        return int(mix64(hashes[rows]).sum(dtype=np.uint64).view(np.int64))
+
+    def plausible(n, sketch, root, starts, sizes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for size in np.unique(sizes):
             i, j = np.triu_indices(size, 1)
             runs = starts[sizes == size]
@@ -171,15 +199,34 @@ def _compare(percent: int, nearest: int | None):
                 ok = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (root[x] != root[y])
                 x, y = x[ok], y[ok]
                 equal = np.concatenate([equal_values(sketch[x[k : k + 40_000]], sketch[y[k : k + 40_000]]) for k in range(0, len(x), 40_000)] or [np.empty(0, int)])
-                x, y, equal = x[equal >= need], y[equal >= need], equal[equal >= need]
-                if nearest is not None and len(x):
-                    order = np.lexsort((x, -equal, y))
-                    x, y = x[order], y[order]
-                    top = np.arange(len(y)) - np.searchsorted(y, y) < nearest
-                    x, y = x[top], y[top]
-                if len(x):
-                    a, b = [keys[k] for k in x], [keys[k] for k in y]
-                    yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(a, b, strict=True)], pa.binary()), pa.array([max(p) for p in zip(a, b, strict=True)], pa.binary())], names=["a", "b"])
+                yield x[equal >= need], y[equal >= need]
+
+    def clusters(t: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        keys, n = t["key"].combine_chunks(), t["n"].to_numpy()
+        label = np.arange(len(n))
+        for x, y in plausible(n, _sketches(t["sketch"]), t["root"].to_numpy(), starts, sizes):
+            _merge(label, x, y)
+        rows = np.flatnonzero(np.bincount(label, minlength=len(n))[label] > 1)
+        rows = rows[np.argsort(label[rows], kind="stable")]
+        hashes = _stack(keys, "<u8", 2)[:, 0]
+        first = np.flatnonzero(np.concatenate([[True], label[rows][1:] != label[rows][:-1]])) if len(rows) else np.empty(0, int)
+        out_rows, out_names = [], []
+        for group in np.split(rows, first[1:]) if len(rows) else ():
+            total = n[group].sum()
+            if total <= RUN_SHINGLES or len(group) == 2:
+                out_rows.append(group)
+                out_names.append(np.full(len(group), named(group, hashes)))
+                continue
+            group = group[np.argsort(n[group], kind="stable")]
+            block = np.minimum(np.cumsum(n[group]) * 2 // RUN_SHINGLES, np.arange(len(group)))
+            parts = np.split(group, np.flatnonzero(np.diff(block)) + 1)
+            for i in range(len(parts)):
+                for j in range(i + 1, len(parts)):
+                    both = np.concatenate([parts[i], parts[j]])
+                    out_rows.append(both)
+                    out_names.append(np.full(len(both), named(both, hashes)))
+        at = pa.array(np.concatenate(out_rows) if out_rows else np.empty(0, np.int64))
+        return pa.RecordBatch.from_arrays([t["turn"].combine_chunks().take(at), pa.array(np.concatenate(out_names) if out_names else [], pa.int64()), keys.take(at)], names=["turn", "cluster", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -187,16 +234,13 @@ def _compare(percent: int, nearest: int | None):
         def done(last: bool):
             nonlocal held
             t = pa.Table.from_batches(held).combine_chunks()
-            node = t["node"].to_numpy()
+            node = t["run"].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             end = len(node) if last else starts[-1]
             held = [] if last else t.slice(end).to_batches()
-            if not end:
-                return
             starts = starts[starts < end]
-            t = t.slice(0, end)
-            roots = np.unique(np.array([bytes(x) for x in t["root"].to_pylist()], "S32"), return_inverse=True)[1] if nearest is None else np.arange(end)
-            yield from pairs(t["key"].to_pylist(), t["n"].to_numpy(), _sketches(t["sketch"]), roots, starts, np.diff(np.append(starts, end)))
+            if end:
+                yield clusters(t.slice(0, end), starts, np.diff(np.append(starts, end)))
 
         rows = 0
         for b in batches:
@@ -212,19 +256,57 @@ def _compare(percent: int, nearest: int | None):
     return run
 
 
-def _alike(percent: int):
-    """Keeps pairs (a, b, sketches of both) with enough equal values."""
-    need = least_equal(percent)
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each of the sorted sets the first one of its component, over all pairs that are linked."""
+    sizes = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count > 1
+    row, column = np.repeat(np.arange(len(sets)), sizes)[common[column]], (np.cumsum(common) - 1)[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both, width = np.zeros((len(sets), len(sets)), np.int64), int(common.sum())
+    for at in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        dense = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        both += (dense @ dense.T).astype(np.int64)
+    label = np.arange(len(sets))
+    x, y = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
+    _merge(label, x, y)
+    return label
+
+
+def _confirmed(percent: int):
+    """Rows (cluster, key, set) sorted by cluster to links (a, b): a star for each component found in a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets = None, [], []
+        links: list[tuple[bytes, bytes]] = []
+
+        def done():
+            if len(keys) > 1:
+                label = linked(sets, percent)
+                links.extend((keys[i], keys[k]) for i, k in enumerate(label.tolist()) if i != k)
+
         for x in batches:
-            if x.num_rows:
-                x = x.filter(pa.array(equal_values(_sketches(x["sketch_a"]), _sketches(x["sketch_b"])) >= need))
-            yield x.select(["a", "b"])
+            for at, key, s in zip(x["cluster"].to_pylist(), x["key"].to_pylist(), x["set"], strict=True):
+                if at != now:
+                    done()
+                    now, keys, sets = at, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(s.as_py(), "<u8"))
+            yield _pairs(links)
+            links.clear()
+        done()
+        yield _pairs(links)
 
     return run
 
 
+def _pairs(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 class _Forest:
     """Disjoint sets of keys, each named by its least key."""
 
@@ -245,53 +327,12 @@ class _Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _confirmed(percent: int):
-    """Rows sorted by run and pair, the sets (a, set) of a run before its pairs (a, b), to links that join its components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, forest = None, {}, _Forest()
-        for x in batches:
-            links: list[tuple[bytes, bytes]] = []
-            for at, a, b, s in zip(x["run"].to_pylist(), x["a"].to_pylist(), x["b"].to_pylist(), x["set"], strict=True):
-                if at != now:
-                    now, sets, forest = at, {}, _Forest()
-                if b is None:
-                    sets[a] = np.frombuffer(s.as_py(), "<u8")
-                elif forest.root(a) != forest.root(b):
-                    m, n = len(sets[a]), len(sets[b])
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * both >= percent * (m + n - both):
-                        forest.join(a, b)
-                        links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def _placed(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs with the run that confirms them (run, a, b), and the keys that each run needs (run, key).
-
-    A cluster of pairs that hang together is cut into blocks of about RUN_CLASSES classes and RUN_SHINGLES shingles; a run
-    takes the pairs between two blocks, or within one.
-    """
-    clusters = components(pairs)
-    sized = clusters.join(classes.select("key", "n"), "key")
-    blocks = F.greatest(F.ceil(F.sum("n") / RUN_SHINGLES), F.ceil(F.count(F.lit(1)) / RUN_CLASSES)).alias("blocks")
-    place = sized.join(sized.groupBy("root").agg(blocks), "root").select("key", "root", F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block"))
-    place = materialise(place, "places")
-    of_a, of_b = (place.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}"), F.col("block").alias(f"block_{c}")) for c in "ab")
-    run = F.xxhash64("root_a", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("run")
-    rows = materialise(pairs.join(of_a, "a").join(of_b, "b").select(run, "a", "b"), "runs")
-    discard(place)
-    return rows, rows.select("run", F.col("a").alias("key")).unionAll(rows.select("run", "b")).distinct()
-
-
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of every doc_id: at most 2 ** FILTER_BITS / 64 numbers reach the driver."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the hash of every doc_id: at most 2 ** bits / 64 numbers reach the driver."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
     words = ids.where("doc_id is not null").select(bit.alias("bit")).selectExpr("bit >> 6 AS word", "shiftleft(1L, CAST(bit & 63 AS int)) AS bits")
     rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
@@ -299,14 +340,16 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
 def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, set: the full shingle sets of the wanted keys, made from the texts of their classes' first documents.
 
-    A bit filter on doc_id picks the texts; documents that pass it by chance fall out in the joins that follow.
+    A bit filter on doc_id picks the texts, so that no others are hashed or shuffled but for a share of one in FILTER_EACH
+    while the filter is within its bound; what passes it by chance falls out in the join with the wanted keys.
     """
-    ids = wanted.join(classes.select("key", "doc_id"), "key").select("doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(ids))
-    rows = docs.select("doc_id", F.col("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("bit"))
+    ids = materialise(wanted.join(classes.select("key", "doc_id"), "key").select("key", "doc_id"), "wanted")
+    bits = min(FILTER_BITS, max(12, (FILTER_EACH * ids.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_words(ids, bits))
+    rows = docs.select("doc_id", F.col("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, words = ChunkTable(_chunk_words), shared.value
+        table, words = ChunkTable(_chunk_words, limit=200_000), shared.value
         for b in batches:
             bit = b["bit"].to_numpy()
             on = (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
@@ -316,7 +359,11 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
                 sets = [s for s in text_sets(table, texts[i:j]) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "set"])
 
-    return rows.mapInArrow(run, "key binary, set binary").dropDuplicates(["key"])
+    found = rows.mapInArrow(run, "key binary, set binary").join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    found = materialise(found, "sets")
+    shared.destroy()
+    discard(ids)
+    return found
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,12 +378,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([forest.root(k) for k in part], pa.binary())], names=["key", "root"])
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """key, root: the least key of each key's component, for keys in links (a, b).
 
     Links are first contracted to stars within tasks of at most TASK_LINKS links; with more tasks than one, the stars are joined
-    by alternating large and small stars. Each of those rounds is two joins with partial sums, written to the shared folder; no
-    list of neighbours is ever gathered.
+    by alternating large and small stars until nothing changes. Each of those rounds is two joins with partial sums, written to
+    the shared folder; no list of neighbours is ever gathered.
     """
     n = links.count()
     tasks = max(1, -(-n // TASK_LINKS))
@@ -346,15 +393,17 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     links = forest.select(F.col("key").alias("a"), F.col("root").alias("b"))
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: every larger neighbour of u to the least of u and its neighbours.
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: u and its smaller neighbours to the least of them.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        linked = edges.join(least, "u")
-        edges = materialise(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = larger.groupBy("u").agg(F.min("v").alias("m"))
+        joined = larger.join(least, "u")
+        after = materialise(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(edges)
+        edges = after
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
@@ -362,48 +411,46 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("key"), F.col("v").alias("root"))).distinct()
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) in either order to distinct pairs a < b whose sizes and sketches allow a link."""
-    pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sketch_a, sketch_b = (classes.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-    return pairs.join(sketch_a, "a").join(sketch_b, "b").mapInArrow(_alike(percent), _PAIR)
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """members with `root`, a hash of the key of each one's component."""
+    if roots is None:
+        return members.withColumn("root", F.xxhash64("key"))
+    return members.join(roots.select("key", F.col("root").alias("_root")), "key", "left").withColumn("root", F.xxhash64(F.coalesce("_root", "key"))).drop("_root")
 
 
-def _blocked_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different components within large nodes, by pairs of blocks of about BLOCK members: the exact way for the rest."""
-    sized = members.join(members.groupBy("node").count(), "node").withColumn("blocks", F.ceil(F.col("count") / BLOCK))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    left = sized.select("node", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = sized.select("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return left.join(right, ["node", "i", "j"]).where("ra <> rb").select("a", "na", "b", "nb")
+def _mixed(members: DataFrame, roots: DataFrame | None, group: str) -> DataFrame:
+    """The members, with root, of the groups that hold several components."""
+    rooted = _rooted(members, roots)
+    mixed = rooted.groupBy(group).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(group)
+    return rooted.join(mixed, group)
 
 
-def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members, with root, of the nodes that hold several components."""
-    members = members.drop("root")
-    rooted = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = rooted.withColumn("_r", F.xxhash64("root"))
-    nodes = rooted.groupBy("node").agg(F.min("_r").alias("lo"), F.max("_r").alias("hi")).where("lo <> hi").select("node")
-    return rooted.drop("_r").join(nodes, "node")
+def _blocks(large: DataFrame) -> DataFrame:
+    """Runs (run, turn, key, n) of about SMALL classes of each large node, the node's pivot in every one of them."""
+    count = F.ceil(F.col("size") / SMALL * 1.25)
+    own = large.where("kid <> pivot").select("node", F.pmod("kid", count).alias("block"), "turn", "key", "n")
+    pivots = large.where("kid = pivot").select("node", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block"), "turn", "key", "n")
+    return own.unionAll(pivots).select(F.xxhash64("node", "block").alias("run"), "turn", "key", "n")
 
 
-def _outsiders(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs (node, key, n, root) that compare each class outside its pivot's component with all of the node; and the other nodes' rows.
+def _outsiders(mixed: DataFrame, cross: int | None) -> tuple[DataFrame, DataFrame]:
+    """Runs (run, turn, key, n, root) that compare each class outside its pivot's component with all of the node; and the other nodes' rows.
 
-    mixed has node, key, kid, pivot, n and root. A run is a block of about OUTSIDERS outsiders with a block of as many of all, so
-    that no task gets a whole node. Nodes whose outsiders times members exceed CROSS are left for the recursion.
+    mixed has node, turn, key, kid, pivot, n and root. A run is a block of about OUTSIDERS outsiders with a block of as many of
+    all, so that no task gets a whole node. Nodes whose outsiders times members exceed cross are left for the recursion.
     """
     pivots = mixed.where("kid = pivot").select("node", F.col("root").alias("_p"))
     rows = mixed.join(pivots, "node").withColumn("_out", F.col("root") != F.col("_p"))
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_m"), F.count_if("_out").alias("_o"))
     rows = rows.join(sizes, "node")
-    few = rows.where(F.col("_m") * F.col("_o") <= CROSS).withColumns({"_i": F.ceil(F.col("_o") / OUTSIDERS), "_j": F.ceil(F.col("_m") / OUTSIDERS)})
+    within = F.lit(True) if cross is None else F.col("_m") * F.col("_o") <= cross
+    few = rows.where(within).withColumns({"_i": F.ceil(F.col("_o") / OUTSIDERS), "_j": F.ceil(F.col("_m") / OUTSIDERS)})
     i, j = F.pmod(F.xxhash64("key", F.lit(1)), F.col("_i")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("_j"))
     zero = F.lit(0).cast("bigint")
-    left = few.where("_out").select("node", "key", "n", "root", i.alias("i"), F.explode(F.sequence(zero, F.col("_j") - 1)).alias("j"))
-    right = few.select("node", "key", "n", "root", F.explode(F.sequence(zero, F.col("_i") - 1)).alias("i"), j.alias("j"))
-    run = F.xxhash64("node", "i", "j").alias("node")
-    return left.unionAll(right.select(left.columns)).select(run, "key", "n", "root"), rows.where(F.col("_m") * F.col("_o") > CROSS).select("node", "key", "kid", "n")
+    left = few.where("_out").select("node", "turn", "key", "n", "root", i.alias("i"), F.explode(F.sequence(zero, F.col("_j") - 1)).alias("j"))
+    right = few.select("node", "turn", "key", "n", "root", F.explode(F.sequence(zero, F.col("_i") - 1)).alias("i"), j.alias("j"))
+    run = F.xxhash64("node", "i", "j").alias("run")
+    return left.unionAll(right.select(left.columns)).select(run, "turn", "key", "n", "root"), rows.where(~within).select("node", "key", "kid", "n")
 
 
 class _Links:
@@ -412,99 +459,110 @@ class _Links:
     def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
         self.docs, self.classes, self.percent = docs, classes, percent
         self.roots: DataFrame | None = None
-        self.tried: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Confirms those of the distinct plausible pairs that have not been tried and are not in one component."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        if self.roots is not None:
-            ra, rb = (self.roots.select(F.col("key").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-            pairs = pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            return
-        self.tried = pairs if self.tried is None else self.tried.unionAll(pairs)
-        rows, needed = _placed(pairs, self.classes)
-        sets = _sets_of(self.docs, self.classes, needed.select("key").distinct())
-        none = F.lit(None).cast("binary")
-        both = needed.join(sets, "key").select("run", F.col("key").alias("a"), none.alias("b"), "set").unionAll(rows.select("run", "a", "b", none.alias("set")))
-        found = both.repartition("run").sortWithinPartitions("run", F.col("b").isNotNull()).mapInArrow(_confirmed(self.percent), _PAIR)
-        found = materialise(found, "links")
-        if not found.isEmpty():
-            self.roots = components(found if self.roots is None else found.unionAll(self.roots.select(F.col("key").alias("a"), F.col("root").alias("b"))))
-        discard(rows, found)
+        self.sets: DataFrame | None = None
+
+    def screen(self, runs: DataFrame) -> DataFrame:
+        """The clusters (turn, cluster, key) of runs (run, turn, key, n, root)."""
+        sketched = runs.join(self.classes.select("key", "sketch"), "key").select("run", "turn", "key", "n", "sketch", "root")
+        return materialise(sketched.repartition("run").sortWithinPartitions("run").mapInArrow(_screen(self.percent), _CLUSTER), "clusters")
+
+    def confirm(self, clusters: DataFrame) -> None:
+        """Confirms the clusters that hold several components, each once."""
+        rows = materialise(_mixed(clusters.select("cluster", "key").distinct(), self.roots, "cluster").select("cluster", "key"), "mixed")
+        if not rows.isEmpty():
+            new = rows.select("key").distinct()
+            if self.sets is not None:
+                new = new.join(self.sets.select("key"), "key", "left_anti")
+            if self.sets is None or not new.isEmpty():
+                more = _sets_of(self.docs, self.classes, new)
+                self.sets = more if self.sets is None else self.sets.unionAll(more)
+            sets = rows.join(self.sets, "key").select("cluster", "key", "set")
+            found = materialise(sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirmed(self.percent), _PAIR), "links")
+            if not found.isEmpty():
+                before = self.roots
+                self.roots = components(found if before is None else found.unionAll(before.select(F.col("key").alias("a"), F.col("root").alias("b"))))
+            discard(found)
+        discard(rows)
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """key, root over the classes (key, n, tokens, sketch, doc_id) that have a link to another."""
     links, kid = _Links(docs, classes, percent), F.xxhash64("key").alias("kid")
-    sketches = classes.select("key", "sketch")
     nodes = classes.select(F.lit(0).cast("bigint").alias("node"), "key", kid, "n", "tokens")
     for level in range(LEVELS):
-        drawn = materialise(nodes.mapInArrow(_children(level), "node bigint, key binary, kid bigint, n bigint"), "nodes")
+        drawn = materialise(nodes.mapInArrow(_children(level), "node bigint, turn int, key binary, kid bigint, n bigint"), "nodes")
         counts = drawn.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("kid").alias("pivot")).where("size > 1")
         shared = materialise(drawn.join(counts, "node"), "members")
         discard(drawn)
-        small, large = shared.where(F.col("size") <= SMALL).drop("size", "pivot"), shared.where(F.col("size") > SMALL)
+        small, large = shared.where(F.col("size") <= SMALL).select(F.col("node").alias("run"), "turn", "key", "n"), shared.where(F.col("size") > SMALL)
         has_large = not large.isEmpty()
-        by_node = lambda m: m.join(sketches, "key").select("node", "key", "n", "sketch", "root").repartition("node").sortWithinPartitions("node")
-        own = small.withColumn("root", F.col("key")).select("node", "key", "n", "root")
-        if has_large:
-            block = F.xxhash64("node", F.pmod("kid", F.ceil(F.col("size") / SMALL * 1.25)))
-            own = own.unionAll(large.select(block.alias("node"), "key", "n", F.col("key").alias("root")))
-        near = by_node(own).mapInArrow(_compare(percent, NEAREST), _PAIR)
-        if has_large:
-            pivots = large.where("kid = pivot").select("node", F.col("key").alias("b"), F.col("n").alias("nb"))
-            near = near.unionAll(_plausible(large.select("node", F.col("key").alias("a"), F.col("n").alias("na")).join(pivots, "node"), classes, percent))
-        links.confirm(near.distinct())
-        runs = _mixed(small, links.roots).select("node", "key", "n", "root")
-        if has_large:
-            mixed = materialise(_mixed(large, links.roots), "mixed")
-            outside, many = _outsiders(mixed)
-            runs = runs.unionAll(outside)
-        links.confirm(by_node(runs).mapInArrow(_compare(percent, None), _PAIR).distinct())
+        runs = small.unionAll(_blocks(large)) if has_large else small
+        clusters = links.screen(_rooted(runs, links.roots))
+        for turn in (0, 1) if level == 0 else (0,):
+            links.confirm(clusters.where(F.col("turn") == turn))
+        discard(clusters)
         if not has_large:
             discard(shared)
             break
-        members = materialise(_mixed(many, links.roots), "mixed")
-        discard(shared, mixed)
+        mixed = materialise(_mixed(large.drop("size"), links.roots, "node"), "mixed")
+        outside, many = _outsiders(mixed, CROSS if level + 1 < LEVELS else None)
+        clusters = links.screen(outside)
+        links.confirm(clusters)
+        members = materialise(_mixed(many, links.roots, "node").drop("root"), "mixed")
+        discard(shared, mixed, clusters)
         if members.isEmpty():
             break
         nodes = members.join(classes.select("key", "tokens"), "key").select("node", "key", "kid", "n", "tokens")
-    else:
-        links.confirm(_plausible(_blocked_pairs(members), classes, percent))
+    if links.sets is not None:
+        discard(links.sets)
     return links.roots if links.roots is not None else classes.select("key", F.col("key").alias("root")).limit(0)
 
 
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The features of all rows, and the classes (key, doc_id, least, root); least is the first row (no_id, doc_id, text_hash) of a class."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    rows = materialise(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_feature_rows, _FEATURES), "features")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")
+    classes = rows.where("key is not null").groupBy("key").agg(least, F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.withColumn("doc_id", F.col("least.doc_id")), "classes")
+    roots = similar_classes(texts, classes, percent)
+    return rows, classes.select("key", "doc_id", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (least doc_id of the linked rows), kept (doc_id = component_id).
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased; a text of one to four words is one shingle of
     all of them. Rows are linked from 100 * intersection >= percent * union on; texts that are null, empty or without words have
-    no shingles and are linked with nothing. Repeated rows are rows of one class; a null doc_id is never a component's id
-    unless all ids of the component are null (then component_id and kept are null). An empty table gives no rows; only doc_id
-    and text are read.
+    no shingles and are linked with nothing. Repeated rows are rows of one class. A null doc_id is never a component's id
+    unless all ids of the component are null (then component_id is null); kept is null for every row without an id. An empty
+    table gives no rows; only doc_id and text are read, whatever other columns there are.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = materialise(texts.mapInArrow(_feature_rows, _FEATURES), "features")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes, "classes")
-    roots = similar_classes(texts, classes, percent)
-    rooted = classes.select("key", "doc_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows, rooted = _classes(docs, percent)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root").select("key", "component_id")
-    out = rows.join(named, "key", "left")
+    out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that are kept: one of each component, repeated rows once; rows without an id all stay."""
-    marks = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
-    once = docs.join(marks, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    none = docs.where("doc_id is null")
-    return once.unionByName(none)
+    """The rows of docs that are kept, with all their columns: one row of each component.
+
+    That is the row of the least doc_id (rows without an id come last), and among rows of that id the one of the least text
+    hash. Rows are told apart by id and text, so that two texts under one id are judged each by itself; of rows with equal id
+    and text one stays, whatever their other columns hold. Texts that are null, empty or without words are linked with nothing
+    and stay, once for each id. An empty table gives no rows. Columns of any other name pass through.
+    """
+    rows, rooted = _classes(docs, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("least")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least").unionAll(rows.where("key is null").select(own).distinct())
+    at = lambda no_id, doc_id, text_hash: [no_id.alias("no_id"), F.coalesce(doc_id, F.lit(0).cast("bigint")).alias("id"), text_hash.alias("hash")]
+    marks = kept.select(*at(F.col("least.no_id"), F.col("least.doc_id"), F.col("least.text_hash")))
+    number = F.col("doc_id").cast("bigint")
+    whole = docs.select(*at(number.isNull(), number, F.xxhash64("text")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    names = ["no_id", "id", "hash"]
+    return whole.dropDuplicates(names).join(marks, names, "left_semi").select("row.*")
 
 
 #: DuckDB SQL for near_duplicates over the table documents.

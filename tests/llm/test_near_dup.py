@@ -64,7 +64,8 @@ def result(df):
 def test_against_brute_force(documents, monkeypatch, small, levels):
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "LEVELS", levels)
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "OUTSIDERS", 8 if small < 400 else 500)
+    monkeypatch.setattr(near_dup, "RUN_SHINGLES", 3000 if small < 400 else 1_000_000)
     monkeypatch.setattr(near_dup, "CROSS", 4_000_000 if small == 20 else 50)
     rows = corpus(small % 50)
     assert result(near_duplicates(documents(rows))) == brute(rows)
@@ -89,6 +90,52 @@ def test_drop_keeps_one_of_each_group_and_all_columns(documents):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_drop_judges_rows_and_not_ids(documents):
+    t, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, t), (2, t), (2, other), (2, other), (None, t), (None, other + " c"), (None, "alone x"), (None, "alone x"), (None, None), (None, None), (3, None)]
+    df = documents(rows, {"row": F.lit(1), "id": F.lit("x"), "hash": F.lit(2), "least": F.lit(3), "a b": F.lit(4)})
+    got = drop_near_duplicates(df, 80)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, t), (2, other), (None, "alone x"), (None, None), (3, None)], key=str)
+    assert drop_near_duplicates(documents([])).count() == 0
+
+
+def test_recall_of_planted_pairs_at_the_threshold(documents):
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for k in range(150):
+        base = [f"p{k}x{i}" for i in range(rng.choice([40, 120, 400]))]
+        while True:  # change single words until one more would break the link
+            changed = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // 62)):
+                changed[at] = f"q{k}x{at}"
+            a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, changed))
+            if 100 * len(a & b) >= 85 * len(a | b):
+                break
+            base = [*base, f"p{k}x{len(base)}"]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(changed))]
+    by_id = {d: c for d, _, c in result(near_duplicates(documents(rows)))}
+    assert sum(by_id[b] == a for a, b in pairs) == len(pairs)
+
+
+def test_linked_is_exact_over_all_pairs_of_a_cluster(monkeypatch):
+    monkeypatch.setattr(near_dup, "COLUMNS", 64)
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        pool = rng.integers(0, 2**63, 120, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(60, 119), replace=False)) for _ in range(rng.integers(2, 12))]
+        label = near_dup.linked(sets, 60)
+        want = list(range(len(sets)))
+        for _ in sets:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    both = len(np.intersect1d(a, b))
+                    if 100 * both >= 60 * (len(a) + len(b) - both):
+                        want[i] = want[j] = min(want[i], want[j])
+        assert label.tolist() == want
+
+
 @pytest.mark.parametrize("task_links", [500_000, 40])
 def test_components_of_a_long_chain_and_a_star(spark, monkeypatch, task_links):
     monkeypatch.setattr(near_dup, "TASK_LINKS", task_links)
