@@ -43,11 +43,11 @@ BRANCHES = (3, 3, 1.2)
 #: Classes up to which a node is compared exhaustively.
 SMALL = 400
 #: Comparisons by sketch, of a large node's classes outside the pivot's component with all, up to which it does not recurse.
-CROSS = 40_000_000
+CROSS = 10_000_000
 #: Levels of recursion; nodes that are still large and mixed at the last one are compared exhaustively, block by block.
 LEVELS = 12
 #: Outsiders, and members that they are compared with, in one run.
-OUTSIDERS = 500
+OUTSIDERS = 1000
 #: Shingles of the sets that are confirmed together, about; a larger cluster is confirmed by pairs of its blocks.
 RUN_SHINGLES = 1_000_000
 #: Shingles that one step of the confirmation counts.
