@@ -94,6 +94,14 @@ class Growing:
         return self.all[: self.n]
 
 
+class _Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class ChunkTable:
     """Maps each white-space chunk of a text to a list of numbers, made once and remembered until `limit` chunks are known.
 
@@ -105,7 +113,7 @@ class ChunkTable:
         self.reset()
 
     def reset(self) -> None:
-        self.rows: dict = {}
+        self.rows = _Numbered()
         self.flat, self.start, self.count = Growing(self.dtype), Growing(np.int64), Growing(np.int64)
 
     def values(self, docs: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,23 +121,20 @@ class ChunkTable:
         if len(self.rows) > self.limit:
             self.reset()
         docs = list(docs)
-        rows, chunks = self.rows, [c for d in docs for c in d]
-        ids = np.fromiter(map(rows.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(ids < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys([chunks[i] for i in missing]))
-            made = self.make(new)
-            counts = [len(x) for x in made]
-            rows.update(zip(new, range(len(rows), len(rows) + len(new)), strict=True))
-            self.start.extend(self.flat.n + np.cumsum([0, *counts[:-1]]))
+        sizes = np.array([len(d) for d in docs], np.int64)
+        known = len(self.rows)
+        ids = np.fromiter(map(self.rows.__getitem__, itertools.chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        if len(self.rows) > known:
+            made = self.make(list(itertools.islice(reversed(self.rows), len(self.rows) - known))[::-1])
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            self.start.extend(self.flat.n + np.cumsum(counts) - counts)
             self.count.extend(counts)
-            self.flat.extend([v for x in made for v in x])
-            ids[missing] = [rows[chunks[i]] for i in missing]
+            self.flat.extend(np.fromiter(itertools.chain.from_iterable(made), self.dtype, int(counts.sum())))
         each = self.count.view()[ids]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.arange(ends[-1]) + np.repeat(self.start.view()[ids] - ends[:-1], each)
-        bounds = np.cumsum([0, *map(len, docs)])
-        return self.flat.view()[at], np.diff(ends[bounds])
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start.view()[ids] - ends + each, each)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return self.flat.view()[at], np.diff(bounds)
 
 
 def word_hashes(words: list) -> list[int]:

@@ -30,6 +30,8 @@ MAX_BITS = 18
 BLOCK = 256
 #: Tokens after which a segment ends (a longer document is a segment of its own).
 SEGMENT_TOKENS = 500_000
+#: Words sent to the tokenizer as one text.
+JOINED = 40
 #: Id appended to every document.
 END_ID = 1
 
@@ -134,7 +136,7 @@ class Encoder:
     The tokenizer drops white space and encodes each match of its splitting pattern by itself, so a text's ids are those of
     its pieces in a row. Texts of plain characters are lower-cased and cut by the file's own pattern; other texts (marks,
     scripts whose forms depend on neighbours, special tokens) are cut at spaces and line ends only, and each chunk goes to the
-    library as it is.
+    library as it is. New words go to the library many at a time.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, limit: int = 1_200_000):
@@ -142,15 +144,32 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.pattern = _split_pattern(json.loads(self.tokenizer.to_str()))
+        file = json.loads(self.tokenizer.to_str())
+        self.pattern = _split_pattern(file)
+        self.last = _word_ends(file) if self.pattern is not None else None
         self.table = ChunkTable(self._ids, np.int32, limit)
 
     def _ids(self, pieces: list[str | None]) -> list:
-        out: list = []
-        for at in range(0, len(pieces), 5000):
-            part = pieces[at : at + 5000]
-            made = iter(self.tokenizer.encode_batch_fast([p for p in part if p is not None], add_special_tokens=False))
-            out += [[self.end_id] if p is None else next(made).ids for p in part]
+        """The ids of each piece; runs of plain words go to the library as one text, whose ids are cut at the ends of words."""
+        out: list = [[self.end_id]] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if p is not None and self.last is not None and p.isalpha() and _PLAIN.fullmatch(p)]
+        alone = sorted({i for i, p in enumerate(pieces) if p is not None}.difference(words))
+        for at in range(0, len(words), 4000):
+            runs = [words[i : i + JOINED] for i in range(at, min(at + 4000, len(words)), JOINED)]
+            for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
+                ids = found.ids
+                ends = np.flatnonzero(self.last[ids]).tolist()
+                if len(ends) != len(run) or ends[-1] != len(ids) - 1:
+                    alone += run
+                    continue
+                first = 0
+                for i, end in zip(run, ends, strict=True):
+                    out[i] = ids[first : end + 1]
+                    first = end + 1
+        for at in range(0, len(alone), 4000):
+            part = alone[at : at + 4000]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = found.ids
         return out
 
     def _cut(self, text: str | None) -> list[str | None]:
@@ -183,6 +202,17 @@ def _split_pattern(file: dict) -> re.Pattern | None:
     return re.compile(pattern)
 
 
+def _word_ends(file: dict) -> np.ndarray | None:
+    """Whether each id ends a word, for files whose tokens say so by a suffix that stands nowhere else; else None."""
+    model = file["model"]
+    suffix = model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or not suffix or model.get("unk_token") or model.get("dropout") or any(suffix in t[:-1] and t.index(suffix) + len(suffix) < len(t) for t in model["vocab"]):
+        return None
+    out = np.zeros(max([*model["vocab"].values(), *(t["id"] for t in file["added_tokens"])]) + 1, bool)
+    out[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def shared_encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
