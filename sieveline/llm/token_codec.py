@@ -28,6 +28,8 @@ from .common import ChunkTable, scratch_dir, steps
 MAX_BITS = 18
 #: Tokens in an independent block.
 BLOCK = 256
+#: Tokens that one step of the encoding takes, whole blocks.
+STEP = 64 * BLOCK
 #: Tokens after which a segment ends (a longer document is a segment of its own).
 SEGMENT_TOKENS = 500_000
 #: Words sent to the tokenizer as one text.
@@ -71,31 +73,34 @@ class Codebook:
         size = max(lengths, default=0) + 1
         self.code, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.width = max(lengths.values(), default=1)
-        self.symbol, self.length = np.zeros(1 << self.width, np.uint32), np.ones(1 << self.width, np.int64)
+        self.table = np.ones(1 << self.width, np.uint32)  # the symbol, times 32, and the length of the code that these bits begin with
         code = last = 0
         for s in order:
             n = lengths[s]
             code <<= n - last
             self.code[s], self.bits[s] = code, n
             first = code << (self.width - n)
-            self.symbol[first : first + (1 << (self.width - n))] = s
-            self.length[first : first + (1 << (self.width - n))] = n
+            self.table[first : first + (1 << (self.width - n))] = s * 32 + n
             code, last = code + 1, n
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of all codes, zero-padded by 8 bytes at least, and the bit offset of each block's first token."""
-        bits = self.bits[ids]
-        ends = np.cumsum(bits)
-        starts = ends - bits
-        total = int(ends[-1]) if len(ids) else 0
-        words = np.zeros(total // 64 + 3, np.uint64)
-        at, shift = starts >> 6, 64 - (starts & 63) - bits
-        code = self.code[ids]
-        high = np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64))
-        self._gather(words, at, high)
-        over = np.flatnonzero(shift < 0)
-        self._gather(words, at[over] + 1, code[over] << (64 + shift[over]).astype(np.uint64))
-        return words.byteswap().tobytes()[: (total + 7) // 8 + 8], starts[::BLOCK]
+        total = int(self.bits[ids].sum()) if len(ids) else 0
+        words, offsets, bit = np.zeros(total // 64 + 3, np.uint64), [np.empty(0, np.int64)], 0
+        for first in range(0, len(ids), STEP):
+            part = ids[first : first + STEP]
+            bits, code = self.bits[part], self.code[part]
+            ends = np.cumsum(bits) + bit
+            starts = ends - bits
+            at, free = starts >> 6, 64 - (starts & 63) - bits  # a negative number of free bits goes on in the next word
+            over = np.flatnonzero(free < 0)
+            high = code << np.maximum(free, 0).astype(np.uint64)
+            high[over] = code[over] >> (-free[over]).astype(np.uint64)
+            self._gather(words, at, high)
+            self._gather(words, at[over] + 1, code[over] << (64 + free[over]).astype(np.uint64))
+            offsets.append(starts[::BLOCK])
+            bit = int(ends[-1])
+        return words.byteswap().tobytes()[: (total + 7) // 8 + 8], np.concatenate(offsets)
 
     @staticmethod
     def _gather(words: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
@@ -106,23 +111,21 @@ class Codebook:
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         """All ids of a segment; the k-th token of every block is looked up at once."""
-        data = np.frombuffer(payload, np.uint8)
-        out = np.zeros((len(checkpoints), block), np.uint32)
-        position = checkpoints.astype(np.int64)
-        last = len(data) - 4
-        lanes = np.full(len(checkpoints), block)
-        if len(checkpoints):
-            lanes[-1] = n - block * (len(checkpoints) - 1)
-        for k in range(block):
-            if k and len(position) and lanes[-1] == k:  # the last block is shorter than the others
-                position = position[:-1]
-                lanes = lanes[:-1]
-            byte = np.minimum(position >> 3, last)
-            window = (data[byte].astype(np.uint32) << 24) | (data[byte + 1].astype(np.uint32) << 16) | (data[byte + 2].astype(np.uint32) << 8) | data[byte + 3]
-            index = (window >> (32 - self.width - (position & 7)).astype(np.uint32)) & np.uint32((1 << self.width) - 1)
-            out[: len(position), k] = self.symbol[index]
-            position = position + self.length[index]
-        return out.reshape(-1)[:n]
+        data = np.frombuffer(payload, np.uint8).astype(np.uint32)
+        window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # 32 bits from each byte on
+        found = np.zeros((block, len(checkpoints)), np.uint32)
+        position, last = checkpoints.astype(np.int64), len(window) - 1
+        shift, mask = np.arange(32 - self.width, 24 - self.width, -1).astype(np.uint32), np.uint32((1 << self.width) - 1)
+        lanes = len(checkpoints)
+        short = n - block * (lanes - 1) if lanes else 0
+        for k in range(block if lanes else 0):
+            if k == short:  # the last block is shorter than the others
+                position, lanes = position[:-1], lanes - 1
+            index = (window[np.minimum(position >> 3, last)] >> shift[position & 7]) & mask
+            entry = self.table[index]
+            found[k, :lanes] = entry
+            position = position + (entry & 31)
+        return (found.T.reshape(-1)[:n]) >> np.uint32(5)
 
 
 #: Characters below U+0250 whose NFC form is themselves and whose lower case does not depend on neighbours; white space as the
