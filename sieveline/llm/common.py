@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Without it, a temporary folder in local mode, else an error."""
     global _local_scratch
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="sieveline-")
     return _local_scratch
@@ -43,13 +46,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of materialised tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            delete_folder(df.sparkSession, path)
+
+
+def whole_rows(docs: DataFrame, name: str = "row") -> Column:
+    """All columns of docs as one struct, so that columns added beside it clash with none of theirs; select(f"{name}.*") gives them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias(name)
 
 
 def id_crc(doc_id: Column) -> Column:

@@ -147,7 +147,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTA
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs, all columns, that hold no item to that share; null and empty texts stay."""
+    """The rows of docs, all columns, that hold no item to that share.
+
+    Null, empty and wordless texts hold none and stay, as all rows do where the benchmark is empty. Rows are judged by their
+    whole text alone, so that repeated rows and rows without an id fare alike; an empty table gives no rows; columns of any
+    other name pass through.
+    """
 
     def emit(b: pa.RecordBatch, found: list, items: Items) -> pa.RecordBatch:
         clean = np.ones(b.num_rows, bool)

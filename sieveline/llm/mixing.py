@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, whole_rows
 
 DIMENSIONS = ("source", "lang", "topic")
-MAX_CYCLES = 20
 TOLERANCE = 1e-4
+#: A cycle that leaves more than this share of the worst difference from a target makes no progress: the targets contradict each other.
+STALLED = 0.999
 #: Target shares are the natural ones to this power, made to sum to 1: large groups give way to small ones.
 TEMPER = 0.7
 #: Share of all tokens that the sample should have.
@@ -45,12 +48,13 @@ def natural_targets(cells: DataFrame, temper: float = TEMPER) -> dict[str, DataF
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], max_cycles: int = MAX_CYCLES, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, tokens) with `weight`: token shares fitted to the target marginals in turn.
 
     cells is materialised by the caller. Values without a target keep their share; targets without tokens have no effect. Ends
-    when every marginal is within tolerance of its target, or after max_cycles. Cells are as many as there are combinations
-    of values, so the loop's cost does not follow the number of documents.
+    when every marginal is within tolerance of its target; there is no bound on the cycles. Where a cycle brings the worst
+    difference no further down, no weights meet all targets: that is warned of, and the weights are those of the last cycle.
+    Cells are as many as there are combinations of values, so the loop's cost does not follow the number of documents.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     state = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
@@ -58,9 +62,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_cycles: int = MAX_
         t = targets[d].select(F.col("value").alias(d), F.col("target").alias(f"target_{d}"))
         state = state.join(_small(t, t.count()), d, "left")
     state = materialise(state, "cells")
-    rows = state.count()
-    for _ in range(max_cycles):
-        off = F.lit(0.0)
+    rows, last = state.count(), None
+    while True:
+        off, before = F.lit(0.0), state
         for d in DIMENSIONS:
             sums = state.groupBy(d).agg(F.sum("weight").alias("_sum"))
             state = state.join(_small(sums, rows), d)
@@ -69,10 +73,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], max_cycles: int = MAX_
             state = state.select(*[c for c in state.columns if c not in ("_sum", "weight", "_off")], (F.col("weight") * ratio).alias("weight"), off.alias("_off"))
             off = F.coalesce(F.col("_off"), F.lit(0.0))
         state = materialise(state.coalesce(max(1, rows // 100_000)), "cells")
+        discard(before)
         worst = state.agg(F.max("_off")).first()[0]
         state = state.drop("_off")
         if worst is None or worst <= tolerance:
             break
+        if last is not None and worst > STALLED * last:
+            warnings.warn(f"no weights meet all targets: one is missed by {worst:.4g}", stacklevel=2)
+            break
+        last = worst
     norm = state.agg(F.sum("weight")).first()[0] or 1.0
     return state.select(*DIMENSIONS, "tokens", (F.col("weight") / norm).alias("weight"))
 
@@ -106,17 +115,18 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def plan_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(docs with _source, _lang, _topic, _n_tokens and _u added, cells with docs and probabilities). Columns of those names are replaced."""
-    marked = docs.withColumn("_n_tokens", token_count(F.col("text")))
-    marked = marked.withColumns({
-        "_source": F.coalesce(F.col("source"), F.lit(_NONE)), "_lang": F.coalesce(F.col("lang"), F.lit(_NONE)),
-        "_topic": topic_of(F.col("text"), F.col("_n_tokens")), "_u": uniform(F.col("doc_id"), F.col("text"), seed),
-    })
-    cells = marked.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    cells = materialise(cells, "cells")
+    """(one row per document: row (all its columns), source, lang, topic, n_tokens and u; cells with docs and probabilities)."""
+    marked = docs.select(whole_rows(docs), "text", "doc_id", "source", "lang", token_count(F.col("text")).alias("n_tokens"))
+    marked = marked.select(
+        "row", F.coalesce("source", F.lit(_NONE)).alias("source"), F.coalesce("lang", F.lit(_NONE)).alias("lang"), topic_of(F.col("text"), F.col("n_tokens")).alias("topic"),
+        "n_tokens", uniform(F.col("doc_id"), F.col("text"), seed).alias("u"),
+    )
+    cells = materialise(marked.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "cells")
     raked = rake(cells.drop("docs"), targets or natural_targets(cells))
     raked = raked.join(_small(cells.drop("tokens"), cells.count()), list(DIMENSIONS))
-    return marked, materialise(probabilities(raked, budget), "cells")
+    out = materialise(probabilities(raked, budget), "cells")
+    discard(cells)
+    return marked, out
 
 
 def copies_of(rate: Column, n_tokens: Column, u: Column) -> Column:
@@ -129,8 +139,7 @@ def copies_of(rate: Column, n_tokens: Column, u: Column) -> Column:
 
 
 def _with_rates(marked: DataFrame, cells: DataFrame) -> DataFrame:
-    rates = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("weight").alias("_cell_weight"), F.col("rate").alias("_rate"), F.col("probability").alias("_probability"))
-    return marked.join(_small(rates, cells.count()), [f"_{d}" for d in DIMENSIONS])
+    return marked.join(_small(cells.select(*DIMENSIONS, "rate", "probability"), cells.count()), list(DIMENSIONS))
 
 
 def mix_weights(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 7) -> DataFrame:
@@ -145,29 +154,36 @@ def mix_weights(docs: DataFrame, targets: dict[str, DataFrame] | None = None, bu
     no rows; other columns are not read.
     """
     marked, cells = plan_mix(docs.select("doc_id", "text", "source", "lang"), targets, budget, seed)
-    marked = marked.select("doc_id", "_source", "_lang", "_topic", "_n_tokens", "_u")
-    rated = _with_rates(marked, cells)
-    return rated.select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n_tokens").alias("n_tokens"),
-        F.col("_rate").alias("rate"), F.col("_probability").alias("probability"), (F.col("_u") < F.col("_probability")).alias("kept"),
-        copies_of(F.col("_rate"), F.col("_n_tokens"), F.col("_u")).alias("copies"),
-    )
+    kept, copies = (F.col("u") < F.col("probability")).alias("kept"), copies_of(F.col("rate"), F.col("n_tokens"), F.col("u")).alias("copies")
+    return _with_rates(marked, cells).select("row.doc_id", *DIMENSIONS, "n_tokens", "rate", "probability", kept, copies)
+
+
+_ROWS = """A null source or language is the value "(none)" with a share of its own; null and empty texts have no tokens, add to no
+    share and come once at most. Rows are drawn by their id (without one: by their text), so that equal ones fare alike. An
+    empty table gives no rows. Columns of any other name pass through."""
 
 
 def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 7) -> DataFrame:
-    """The sampled rows of docs, each once, all columns."""
     marked, cells = plan_mix(docs, targets, budget, seed)
-    return _with_rates(marked, cells).where(F.col("_u") < F.col("_probability")).select(*docs.columns)
+    return _with_rates(marked, cells).where("u < probability").select("row.*")
 
 
-def sample_copies(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = BUDGET, seed: int = 7) -> DataFrame:
-    """The rows of docs to the raked weights, all columns: rows wanted more than once come in copies, so that the targets are met.
+sample_mix.__doc__ = f"""The sampled rows of docs, each once, all columns.
 
-    The expected number of rows is `share` of those of docs.
+    {_ROWS}
     """
+
+
+def sample_copies(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = BUDGET, seed: int = 7) -> DataFrame:
     marked, cells = plan_mix(docs, targets, seed=seed)
     s = cells.agg(F.sum("docs").alias("docs"), F.sum(F.col("docs") * F.col("rate")).alias("wanted")).first()
     scale = share * s["docs"] / s["wanted"] if s["wanted"] else 0.0
-    copies = copies_of(F.col("_rate") * F.lit(scale), F.col("_n_tokens"), F.col("_u")).cast("int")
-    rows = _with_rates(marked, cells).withColumn("_copies", copies).where("_copies > 0")
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    copies = copies_of(F.col("rate") * F.lit(scale), F.col("n_tokens"), F.col("u")).cast("int").alias("copies")
+    rows = _with_rates(marked, cells).select("row", copies).where("copies > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+
+
+sample_copies.__doc__ = f"""The rows of docs to the raked weights, all columns: rows wanted more than once come in copies, so that the targets are met.
+
+    The expected number of rows is `share` of those of docs. {_ROWS}
+    """

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, discard, materialise, mix64, shingle_sets, steps, word_hashes
+from .common import ChunkTable, discard, materialise, mix64, shingle_sets, steps, whole_rows, word_hashes
 
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 85
@@ -560,7 +560,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     at = lambda no_id, doc_id, text_hash: [no_id.alias("no_id"), F.coalesce(doc_id, F.lit(0).cast("bigint")).alias("id"), text_hash.alias("hash")]
     marks = kept.select(*at(F.col("least.no_id"), F.col("least.doc_id"), F.col("least.text_hash")))
     number = F.col("doc_id").cast("bigint")
-    whole = docs.select(*at(number.isNull(), number, F.xxhash64("text")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = docs.select(*at(number.isNull(), number, F.xxhash64("text")), whole_rows(docs))
     names = ["no_id", "id", "hash"]
     return whole.dropDuplicates(names).join(marks, names, "left_semi").select("row.*")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, scratch_dir, steps
+from .common import ChunkTable, delete_folder, scratch_dir, steps
 
 #: Longest code in bits; also the width of the decoding table.
 MAX_BITS = 18
@@ -320,8 +320,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_tokens: int
                 yield _row(_SEGMENT_TYPES, **{n: b[n][k].as_py() for n in ("part", "seq", "doc_ids", "n_tokens")}, payload=payload, checkpoints=checkpoints.tolist(), n_ids=len(ids))
 
     raw.mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_folder(spark, f"{path}/raw")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

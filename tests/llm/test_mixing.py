@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm.mixing import DIMENSIONS, mix_weights, natural_targets, probabilities, rake, sample_mix, topic_of
+from sieveline.llm.mixing import DIMENSIONS, mix_weights, natural_targets, probabilities, rake, sample_copies, sample_mix, topic_of
 
 
 def cells_df(spark, table):
@@ -34,6 +34,13 @@ def test_rake_matches_plain_ipf(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_targets_that_no_weights_meet_are_warned_of(spark):
+    table = {("a", "en", "prose"): 10, ("b", "de", "prose"): 10}
+    frames = {d: spark.createDataFrame(list(t.items()), "value string, target double") for d, t in zip(DIMENSIONS, [{"a": 0.2, "b": 0.8}, {"en": 0.6, "de": 0.4}, {"prose": 1.0}], strict=True)}
+    with pytest.warns(UserWarning, match="no weights meet all targets"):
+        rake(cells_df(spark, table), frames)
+
+
 def test_probabilities_meet_the_budget(spark):
     table = {(s, "en", "prose"): t for s, t in [("a", 100), ("b", 1000), ("c", 9000)]}
     rows = probabilities(cells_df(spark, table).withColumn("weight", F.expr("case source when 'a' then 0.3 when 'b' then 0.3 else 0.4 end")), 0.5).collect()
@@ -73,6 +80,9 @@ def test_topics_and_awkward_rows(spark, documents, awkward):
     odd = awkward.withColumn("topic", F.lit(5)).withColumn("_u", F.lit("clash")).withColumn("weight", F.lit(1))
     rows = mix_weights(odd).collect()
     assert len(rows) == awkward.count() and {(r.source, r.lang) for r in rows} == {("(none)", "(none)")}
-    assert sample_mix(odd.drop("_u")).columns == odd.drop("_u").columns
+    for clash in ("_u", "_rate", "_source", "rate", "row", "u", "copies", "probability", "n_tokens"):
+        odd = odd.withColumn(clash, F.lit("clash"))
+    for out in (sample_mix(odd), sample_copies(odd)):
+        assert out.columns == odd.columns and {tuple(r[c] for c in odd.columns[5:]) for r in out.collect()} <= {tuple(r[c] for c in odd.columns[5:]) for r in odd.collect()}
     assert mix_weights(documents([])).count() == 0
     assert natural_targets(spark.createDataFrame([], "source string, lang string, topic string, tokens long"))["lang"].count() == 0
