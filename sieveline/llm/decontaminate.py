@@ -3,9 +3,11 @@
 A long document and a short test item have a tiny Jaccard similarity however much of the item the document holds, so the
 search asks the other way round. An item's MinHash sketch is its s shingles of smallest hash; a document that holds a share t
 of the item holds each sketch shingle with probability t. Items are partitioned by the size of their shingle set (powers of
-two) and s is set by size: with m shingles, s = floor((1 - t) * m) + 1 must meet any document that holds t * m of them (by
-the pigeonhole principle), up to SKETCH, beyond which an item is missed with probability (1 - t) ** SKETCH at most (1e-17).
-Every document is read once per block of items; candidates are verified on all shingles of the whole text.
+two). Each partition has an index, a sketch length and a threshold of its own, and is probed by itself: s is one more than the
+shingles that the partition's largest item may lack, and a document is a candidate for an item from so many of its sketch
+shingles on as any document with t * m of the m shingles must hold (by the pigeonhole principle). In partitions where s would
+exceed SKETCH it is SKETCH and one shingle makes a candidate; an item is missed with probability (1 - t) ** SKETCH at most
+(1e-17). Every document is read once per block of items; candidates are verified on all shingles of the whole text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ SKETCH = 24
 #: Characters of benchmark text that are sent to executors at once; larger benchmarks go in blocks of about that size.
 BLOCK_CHARS = 64_000_000
 _BITS = 22
+_EPS = 1e-9
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _PAIRS = "doc_id bigint, item_id bigint, n_shingles bigint, n_found bigint"
@@ -41,63 +44,88 @@ def _split(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+@dataclass
+class Partition:
+    """Items of one size class and word length: the sketch length, the sketch shingles a candidate must hold, and who has which."""
+
+    sketch: int
+    need: int
+    keys: np.ndarray
+    starts: np.ndarray
+    members: np.ndarray
+
+    def candidates(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, items) with enough sketch shingles among the hashes of those documents."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        true = self.keys[at] == hashes
+        if not true.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        d, k = np.unique(np.stack([doc[true], at[true]]), axis=1)
+        each = self.starts[k + 1] - self.starts[k]
+        ends = np.cumsum(each)
+        items = self.members[np.arange(ends[-1]) + np.repeat(self.starts[k] - ends + each, each)]
+        pairs, count = np.unique(np.stack([np.repeat(d, each), items]), axis=1, return_counts=True)
+        return pairs[0][count >= self.need], pairs[1][count >= self.need]
+
+
 @dataclass
 class Items:
-    """A block of items: shingle sets, their word length, and per length the sketch shingles with the items that have them."""
+    """A block of items: shingle sets, per shingle length a filter of all sketch shingles, and the partitions by (length, size class)."""
 
     ids: list
     sets: list[np.ndarray]
-    sketches: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by n-gram length: filter, sorted hashes, starts, items
+    filters: dict[int, np.ndarray]
+    partitions: dict[tuple[int, int], Partition]
 
     def __bool__(self) -> bool:
-        return bool(self.sketches)
+        return bool(self.partitions)
+
+
+def _lacking(m: int, containment: float) -> int:
+    """Shingles of m that a document may lack and still hold the share."""
+    return m - int(np.ceil(containment * m - _EPS))
 
 
 def index_items(rows: list[tuple], containment: float = CONTAINMENT) -> Items:
-    """Rows (item id, text) as sketches by size class; items without words have none and match nothing."""
+    """Rows (item id, text) as partitions; items without words have no shingles and match nothing."""
     table = ChunkTable(_chunk_words)
     words, sizes = table.values(_split(t) for _, t in rows)
     sets = shingle_sets(words, sizes)
-    classes: dict[int, list[int]] = defaultdict(list)
+    classes: dict[tuple[int, int], list[int]] = defaultdict(list)
     for i, s in enumerate(sets):
         if len(s):
-            classes[len(s).bit_length()].append(i)
-    probes: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for members in classes.values():
+            classes[min(int(sizes[i]), SHINGLE), len(s).bit_length()].append(i)
+    filters, partitions = {}, {}
+    for (n, size), members in classes.items():
+        sketch = min(SKETCH, max(_lacking(len(sets[i]), containment) for i in members) + 1)
+        by_hash: dict[int, list[int]] = defaultdict(list)
         for i in members:
-            m = len(sets[i])
-            s = min(SKETCH, m - int(np.ceil(containment * m - 1e-9)) + 1)
-            order = np.argsort(mix64(sets[i]))[:s]
-            for h in sets[i][order]:
-                probes[min(int(sizes[i]), SHINGLE)][int(h)].append(i)
-    sketches = {}
-    for n, by_hash in probes.items():
+            for h in sets[i][np.argsort(mix64(sets[i]))[:sketch]]:
+                by_hash[int(h)].append(i)
+        need = max(1, min(min(sketch, len(sets[i])) - _lacking(len(sets[i]), containment) for i in members))
         keys = np.array(sorted(by_hash), np.uint64)
         lists = [by_hash[int(k)] for k in keys]
-        seen = np.zeros(1 << _BITS, bool)
-        seen[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        sketches[n] = seen, keys, np.cumsum([0, *map(len, lists)]), np.concatenate([np.array(x, np.int64) for x in lists])
-    return Items([i for i, _ in rows], sets, sketches)
+        partitions[n, size] = Partition(sketch, need, keys, np.cumsum([0, *map(len, lists)]), np.concatenate([np.array(x, np.int64) for x in lists]))
+        filters.setdefault(n, np.zeros(1 << _BITS, bool))[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+    return Items([i for i, _ in rows], sets, filters, partitions)
 
 
 def matches(items: Items, words: np.ndarray, sizes: np.ndarray, containment: float = CONTAINMENT) -> list[tuple[int, int, int, int]]:
     """(document position, item position, item's shingles, those found) of all pairs that reach the containment."""
     out = []
-    for n, (seen, keys, starts, members) in items.sketches.items():
+    for n, seen in items.filters.items():
         h, doc = gram_hashes(words, sizes, n)
         maybe = np.flatnonzero(seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-        true = keys[at] == h[maybe]
-        hits = np.unique(np.stack([doc[maybe[true]], at[true]]), axis=1) if true.any() else np.empty((2, 0), np.int64)
-        bounds = np.searchsorted(doc, np.arange(len(sizes) + 1))
-        for d in np.unique(hits[0]):
-            own = np.sort(h[bounds[d] : bounds[d + 1]])
-            for i in np.unique(np.concatenate([members[starts[k] : starts[k + 1]] for k in hits[1][hits[0] == d]])):
+        found = [p.candidates(h[maybe], doc[maybe]) for (length, _), p in items.partitions.items() if length == n]
+        of_doc, of_item = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        for d in np.unique(of_doc):
+            own = np.sort(h[slice(*np.searchsorted(doc, [d, d + 1]))])
+            for i in of_item[of_doc == d]:
                 item = items.sets[i]
                 place = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                found = int((own[place] == item).sum())
-                if found >= containment * len(item) - 1e-9:
-                    out.append((int(d), int(i), len(item), found))
+                held = int((own[place] == item).sum())
+                if held >= containment * len(item) - _EPS:
+                    out.append((int(d), int(i), len(item), held))
     return out
 
 

@@ -1,14 +1,20 @@
 """Exact top-k by inner product: dual-tree search over cover trees of the queries and of blocks of the vectors.
 
 For a query node (centre q, radius r) and a data node (centre c, radius s), no pair below them scores more than
-q.c + r|c| + s|q| + r*s. A pair of nodes is left out where that is below the worst k-th score of the node's queries. The
-k-th scores start from an exact search of a bounded sample of the data, which is a lower bound whatever the sample is.
+q.c + r|c| + s|q| + r*s. A pair of nodes is left out where that is below the worst k-th score of the node's queries; below a
+query leaf the bound is taken for each query by itself, x.c + s|x|, and those that it rules out are left behind. The k-th scores
+start from an exact search of a bounded sample of the data, which is a lower bound whatever the sample is.
+
+Where vectors lie far apart in all directions (64 components drawn at random: neighbours at cosine 0.4, balls of any radius
+below the nearest distance hold one vector each), no bound can rule out much, and the search is a blocked comparison of nearly
+all pairs; `Search.compared` counts them.
 """
 
 from __future__ import annotations
 
 import heapq
 import itertools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose tree is sent to the executors at once; more go in blocks of about that number, each over all data.
+from .common import scratch_dir
+
+#: Queries whose tree is sent to the executors at once; more go in blocks of about that number, one after another.
 QUERY_BLOCK = 8192
 #: Vectors in a data tree.
 DATA_BLOCK = 16_384
 #: Rows of the sample that starts the k-th scores (expected number).
 SAMPLE = 4096
-LEAF = 96
-#: A node's radius is at least this many times its children's.
-SHRINK = 1.6
-#: Centres after which a node that does not spread into smaller balls stays a leaf.
+#: Vectors up to which a node is a leaf.
+LEAF = 64
+#: A level's net covers its node at the node's radius over this, if it needs no more centres than that.
+SHRINK = 2.0
 MAX_CENTRES = 64
 _FOUND = 1_000_000
 
@@ -38,13 +46,16 @@ class Node:
     radius: float
     rows: np.ndarray
     children: list[Node] = field(default_factory=list)
+    centres: np.ndarray | None = None  # of the children, and their radii
+    radii: np.ndarray | None = None
 
 
 def build(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
-    """A cover tree over x[rows]: a node's children are balls round a net of its rows.
+    """A cover tree over x[rows]: a node's children are the balls round a net of its rows, each with its nearest rows.
 
-    The net starts with the node's own centre and takes the farthest row until all are within radius / SHRINK of one, so
-    that centres are farther apart than that. Equal vectors, small sets and sets that no net of MAX_CENTRES covers are leaves.
+    The net starts with the node's own centre and takes the farthest row until all are within radius / SHRINK of one, or there
+    are MAX_CENTRES. So every row lies within its node's radius (covering), and the centres of a net are farther apart than any
+    row of the node is from the nearest of them (separation). Small sets and equal vectors are leaves.
     """
     rows = np.arange(len(x)) if rows is None else rows
     centre = int(rows[0]) if centre is None else centre
@@ -53,16 +64,17 @@ def build(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = No
     node = Node(x[centre], float(np.sqrt(x[centre] @ x[centre])), float(nearest.max()), rows)
     if len(rows) <= LEAF or node.radius == 0:
         return node
-    centres, owner, cover = [centre], np.zeros(len(rows), int), node.radius / SHRINK
-    while nearest.max() > cover:
-        if len(centres) >= MAX_CENTRES:
-            return node
+    centres, owner, cover, norms = [centre], np.zeros(len(rows), int), node.radius / SHRINK, (own**2).sum(axis=1)
+    while nearest.max() > cover and len(centres) < MAX_CENTRES:
         far = int(nearest.argmax())
-        away = np.sqrt(((own - own[far]) ** 2).sum(axis=1))
+        away = np.sqrt(np.maximum(norms + norms[far] - 2 * (own @ own[far]), 0))
         owner[away < nearest] = len(centres)
+        owner[far] = len(centres)
         nearest = np.minimum(nearest, away)
+        nearest[far] = 0
         centres.append(int(rows[far]))
     node.children = [build(x, rows[owner == i], c) for i, c in enumerate(centres)]
+    node.centres, node.radii = np.stack([c.centre for c in node.children]), np.array([c.radius for c in node.children])
     return node
 
 
@@ -73,16 +85,14 @@ class Search:
         self.ids, self.x, self.k = ids, x, k
         self.floor = np.full(len(x), -np.finfo(float).max) if floor is None else floor  # known lower bounds of the k-th scores
         self.tree = build(x) if len(x) else None
+        self.norms = np.sqrt((x**2).sum(axis=1))
         self.best = np.full((len(x), k), -np.inf)  # scores, ascending
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held = self.compared = 0
 
     def kth(self, q: np.ndarray) -> np.ndarray:
         return np.maximum(self.best[q, 0], self.floor[q])
 
-    def worst(self, q: Node) -> float:
-        return float(self.kth(q.rows).min())
-
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Searches a block of data with all queries: node pairs of highest bound first."""
         if not len(ids) or self.tree is None:
@@ -90,27 +100,39 @@ class Search:
         count = itertools.count()
 
         def bound(q: Node, d: Node) -> float:
-            b = float(q.centre @ d.centre) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-            return b + 1e-9 * (1 + abs(b))
+            return _above(float(q.centre @ d.centre) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius)
 
         data = build(x)
         heap = [(-bound(self.tree, data), next(count), self.tree, data)]
         while heap:
             b, _, q, d = heapq.heappop(heap)
-            if -b < self.worst(q):
+            if -b < self.kth(q.rows).min():
                 continue
-            if not q.children and not d.children:
-                self.compare(q.rows, d.rows, ids, x)
+            if not q.children:
+                self.below(q.rows, d, ids, x)
                 continue
-            split_data = bool(d.children) and (not q.children or d.radius >= q.radius)
-            for a, c in [(q, y) for y in d.children] if split_data else [(y, d) for y in q.children]:
+            for a, c in [(q, y) for y in d.children] if d.children and d.radius >= q.radius else [(y, d) for y in q.children]:
                 b = bound(a, c)
-                if b >= self.worst(a):
+                if b >= self.kth(a.rows).min():
                     heapq.heappush(heap, (-b, next(count), a, c))
 
+    def below(self, q: np.ndarray, d: Node, ids: np.ndarray, x: np.ndarray) -> None:
+        """Searches a data node with the queries of a leaf that its ball does not rule out, the children of highest bound first."""
+        if not d.children:
+            near = _above(self.x[q] @ d.centre + d.radius * self.norms[q]) >= self.kth(q)
+            if near.any():
+                self.compare(q[near], d.rows, ids, x)
+            return
+        bounds = _above(self.x[q] @ d.centres.T + self.norms[q][:, None] * d.radii[None, :])
+        for k in np.argsort(-bounds.max(axis=0), kind="stable"):
+            near = bounds[:, k] >= self.kth(q)
+            if near.any():
+                self.below(q[near], d.children[k], ids, x)
+
     def compare(self, q: np.ndarray, d: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
         for at in range(0, len(d), 2048):
             part = d[at : at + 2048]
+            self.compared += len(q) * len(part)
             scores = self.x[q] @ x[part].T
             scores[self.ids[q][:, None] == ids[part][None, :]] = -np.inf
             hit = scores >= self.kth(q)[:, None]
@@ -139,6 +161,11 @@ class Search:
         return self.found[0]
 
 
+def _above(bound):
+    """A bound made safe against rounding."""
+    return bound + 1e-9 * (1 + np.abs(bound))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """floor(64 * x) of list<float> vectors, shorter ones with zeros behind, as whole float64 numbers."""
     flat = np.floor(64 * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
@@ -162,6 +189,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_block: int = Q
     vectors that are null, and vectors with a null or non-finite component, take no part; shorter vectors count as filled up
     with zeros. An id with several rows asks once, with its first vector in array order; as candidates all rows count. With
     fewer than k candidates all are returned; an empty table gives no rows. Other columns are not read.
+
+    The queries go in blocks of about query_block. With more than one, the blocks' hits are made one after another and appended
+    to a written table, so that the driver and the executors hold one block at a time.
     """
     rows = usable(vectors)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -171,7 +201,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_block: int = Q
     blocks = max(1, -(-n_queries // query_block))
     share = F.lit(int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))
     start = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < share).select("vec_id", "vector").toArrow() if n else None
-    spark, out = vectors.sparkSession, None
+    spark, path = vectors.sparkSession, f"{scratch_dir(vectors.sparkSession)}/hits-{uuid.uuid4().hex}" if blocks > 1 else None
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow().combine_chunks() if n else None
         ids = part["vec_id"].to_numpy() if n else np.empty(0, np.int64)
@@ -202,9 +232,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, query_block: int = Q
             yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(found, pa.int64()), pa.array(scores.astype(np.int64), pa.int64())], names=["query_id", "vec_id", "score"])
 
         hits = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        out = hits if out is None else out.unionAll(hits)
+        if path:
+            hits.write.mode("append").parquet(path)
+            shared.destroy()
+    if path:
+        hits = spark.read.schema("query_id bigint, vec_id bigint, score bigint").parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: DuckDB SQL for top_k with k = 20 over the table embeddings.

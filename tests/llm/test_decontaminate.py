@@ -74,3 +74,19 @@ def test_size_classes_meet_every_pair_at_the_bound():
             n = m - 4
             found = decontaminate.matches(items, w, s)
             assert bool(found) == (n - cut >= 0.8 * n)
+
+
+def test_partitions_have_their_own_sketch_and_threshold():
+    rng = random.Random(2)
+    texts = [" ".join(f"y{rng.randrange(10**12)}" for _ in range(m)) for m in (3, 6, 7, 12, 20, 36, 70, 500) for _ in range(3)]
+    items = decontaminate.index_items(list(enumerate(texts)))
+    assert set(items.partitions) == {(3, 1), (5, 2), (5, 4), (5, 5), (5, 6), (5, 7), (5, 9)}
+    sketches = {size: p.sketch for (n, size), p in items.partitions.items() if n == 5}
+    assert sketches[2] < sketches[5] < sketches[7] < sketches[9] == decontaminate.SKETCH
+    for (_, size), p in items.partitions.items():
+        for i in set(p.members.tolist()):
+            assert min(p.sketch, len(items.sets[i])) - decontaminate._lacking(len(items.sets[i]), 0.8) >= p.need or p.sketch == decontaminate.SKETCH
+    # one partition's shingles are not looked up in another's
+    alone = items.partitions[5, 5]
+    other = items.sets[texts.index(next(t for t in texts if len(t.split()) == 6))]
+    assert alone.candidates(other, decontaminate.np.zeros(len(other), int))[0].size == 0

@@ -63,3 +63,30 @@ def test_cover_tree_covers_and_separates(monkeypatch):
         return 1 + sum(map(walk, node.children))
 
     assert walk(build(x)) > 10
+
+
+def searched(x, ids, every, start=400):
+    queries = np.flatnonzero(ids % every == 0)
+    first = topk.Search(ids[queries], x[queries], 20)
+    first.add(ids[:start], x[:start])
+    search = topk.Search(ids[queries], x[queries], 20, first.kth(np.arange(len(queries))))
+    search.add(ids, x)
+    return search.compared / (len(queries) * len(x))
+
+
+def test_balls_prune_node_pairs():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64)) * 40
+    x = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 64)) * 3)
+    assert searched(x, np.arange(8000), 20) < 0.1
+
+
+def test_vectors_of_the_tables(spark):
+    """Random directions: nearly nothing can be pruned, whatever the tree; a group of near copies can."""
+    shares = {}
+    for t in ("sf0.1", "check_h"):
+        rows = spark.read.parquet(f"/root/testdata/{t}/embeddings.parquet").toPandas()
+        x = np.floor(64 * np.stack(rows.embedding.to_list()).astype(float))
+        shares[t] = searched(x, rows.vec_id.to_numpy(), 20)
+    print(shares)
+    assert shares["sf0.1"] <= 1 and shares["check_h"] < 0.97
