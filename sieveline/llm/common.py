@@ -9,7 +9,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +46,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df made now and kept on the executors' disks until unpersist(): for small steps, which would be many small files.
-
-    What a lost executor held is made again from the last written table, so that written tables must bound what stands before.
-    """
-    df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
-
-
 def delete_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, discard, held, materialise, mix64, shingle_sets, steps, whole_rows, word_hashes
+from .common import ChunkTable, discard, materialise, mix64, shingle_sets, steps, whole_rows, word_hashes
 
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 85
@@ -343,7 +343,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     A bit filter on doc_id picks the texts, so that no others are hashed or shuffled but for a share of one in FILTER_EACH
     while the filter is within its bound; what passes it by chance falls out in the join with the wanted keys.
     """
-    ids = held(wanted.join(classes.select("key", "doc_id"), "key").select("key", "doc_id"))
+    ids = materialise(wanted.join(classes.select("key", "doc_id"), "key").select("key", "doc_id"), "wanted")
     bits = min(FILTER_BITS, max(12, (FILTER_EACH * ids.count()).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(_filter_words(ids, bits))
     rows = docs.select("doc_id", F.col("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("bit"))
@@ -362,7 +362,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
     found = rows.mapInArrow(run, "key binary, set binary").join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"])
     found = materialise(found, "sets")
     shared.destroy()
-    ids.unpersist()
+    discard(ids)
     return found
 
 
@@ -464,11 +464,11 @@ class _Links:
     def screen(self, runs: DataFrame) -> DataFrame:
         """The clusters (turn, cluster, key) of runs (run, turn, key, n, root)."""
         sketched = runs.join(self.classes.select("key", "sketch"), "key").select("run", "turn", "key", "n", "sketch", "root")
-        return held(sketched.repartition("run").sortWithinPartitions("run").mapInArrow(_screen(self.percent), _CLUSTER))
+        return materialise(sketched.repartition("run").sortWithinPartitions("run").mapInArrow(_screen(self.percent), _CLUSTER), "clusters")
 
     def confirm(self, clusters: DataFrame) -> None:
         """Confirms the clusters that hold several components, each once."""
-        rows = held(_mixed(clusters.select("cluster", "key").distinct(), self.roots, "cluster").select("cluster", "key"))
+        rows = materialise(_mixed(clusters.select("cluster", "key").distinct(), self.roots, "cluster").select("cluster", "key"), "mixed")
         if not rows.isEmpty():
             new = rows.select("key").distinct()
             if self.sets is not None:
@@ -477,12 +477,12 @@ class _Links:
                 more = _sets_of(self.docs, self.classes, new)
                 self.sets = more if self.sets is None else self.sets.unionAll(more)
             sets = rows.join(self.sets, "key").select("cluster", "key", "set")
-            found = held(sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirmed(self.percent), _PAIR))
+            found = materialise(sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_confirmed(self.percent), _PAIR), "links")
             if not found.isEmpty():
                 before = self.roots
                 self.roots = components(found if before is None else found.unionAll(before.select(F.col("key").alias("a"), F.col("root").alias("b"))))
-            found.unpersist()
-        rows.unpersist()
+            discard(found)
+        discard(rows)
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -490,27 +490,26 @@ def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT)
     links, kid = _Links(docs, classes, percent), F.xxhash64("key").alias("kid")
     nodes = classes.select(F.lit(0).cast("bigint").alias("node"), "key", kid, "n", "tokens")
     for level in range(LEVELS):
-        drawn = held(nodes.mapInArrow(_children(level), "node bigint, turn int, key binary, kid bigint, n bigint"))
+        drawn = materialise(nodes.mapInArrow(_children(level), "node bigint, turn int, key binary, kid bigint, n bigint"), "nodes")
         counts = drawn.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("kid").alias("pivot")).where("size > 1")
-        shared = held(drawn.join(counts, "node"))
-        drawn.unpersist()
+        shared = materialise(drawn.join(counts, "node"), "members")
+        discard(drawn)
         small, large = shared.where(F.col("size") <= SMALL).select(F.col("node").alias("run"), "turn", "key", "n"), shared.where(F.col("size") > SMALL)
         has_large = not large.isEmpty()
         runs = small.unionAll(_blocks(large)) if has_large else small
         clusters = links.screen(_rooted(runs, links.roots))
         for turn in (0, 1) if level == 0 else (0,):
             links.confirm(clusters.where(F.col("turn") == turn))
-        clusters.unpersist()
+        discard(clusters)
         if not has_large:
-            shared.unpersist()
+            discard(shared)
             break
-        mixed = held(_mixed(large.drop("size"), links.roots, "node"))
+        mixed = materialise(_mixed(large.drop("size"), links.roots, "node"), "mixed")
         outside, many = _outsiders(mixed, CROSS if level + 1 < LEVELS else None)
         clusters = links.screen(outside)
         links.confirm(clusters)
         members = materialise(_mixed(many, links.roots, "node").drop("root"), "mixed")
-        for step in (clusters, mixed, shared):
-            step.unpersist()
+        discard(shared, mixed, clusters)
         if members.isEmpty():
             break
         nodes = members.join(classes.select("key", "tokens"), "key").select("node", "key", "kid", "n", "tokens")

@@ -142,7 +142,7 @@ class Encoder:
     library as it is. New words go to the library many at a time.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, limit: int = 500_000):
+    def __init__(self, path: str, end_id: int = END_ID, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

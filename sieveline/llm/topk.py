@@ -32,7 +32,7 @@ DATA_BLOCK = 16_384
 #: Rows of the sample that starts the k-th scores (expected number).
 SAMPLE = 4096
 #: Vectors up to which a node is a leaf.
-LEAF = 64
+LEAF = 256
 #: A level's net covers its node at the node's radius over this, if it needs no more centres than that.
 SHRINK = 2.0
 MAX_CENTRES = 64
@@ -54,7 +54,7 @@ def build(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = No
     """A cover tree over x[rows]: a node's children are the balls round a net of its rows, each with its nearest rows.
 
     The net starts with the node's own centre and takes the farthest row until all are within radius / SHRINK of one, or there
-    are MAX_CENTRES. So every row lies within its node's radius (covering), and the centres of a net are farther apart than any
+    are as many as make leaves of about LEAF / 2 rows, MAX_CENTRES at most. So every row lies within its node's radius (covering), and the centres of a net are farther apart than any
     row of the node is from the nearest of them (separation). Small sets and equal vectors are leaves.
     """
     rows = np.arange(len(x)) if rows is None else rows
@@ -65,7 +65,8 @@ def build(x: np.ndarray, rows: np.ndarray | None = None, centre: int | None = No
     if len(rows) <= LEAF or node.radius == 0:
         return node
     centres, owner, cover, norms = [centre], np.zeros(len(rows), int), node.radius / SHRINK, (own**2).sum(axis=1)
-    while nearest.max() > cover and len(centres) < MAX_CENTRES:
+    most = min(MAX_CENTRES, max(2, 2 * len(rows) // LEAF))
+    while nearest.max() > cover and len(centres) < most:
         far = int(nearest.argmax())
         away = np.sqrt(np.maximum(norms + norms[far] - 2 * (own @ own[far]), 0))
         owner[away < nearest] = len(centres)
