@@ -69,19 +69,17 @@ class Codebook:
     """Canonical codes: by length, then id."""
 
     def __init__(self, lengths: dict[int, int]):
-        order = sorted(lengths, key=lambda s: (lengths[s], s))
+        symbols, bits = np.array([*lengths], np.int64), np.array([*lengths.values()], np.int64)
+        order = np.lexsort((symbols, bits))
+        symbols, bits = symbols[order], bits[order]
+        self.width = max(lengths.values(), default=1)
+        spans = 1 << (self.width - bits)  # of the decoding table's entries that begin with each code
+        first = np.cumsum(spans) - spans
         size = max(lengths, default=0) + 1
         self.code, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        self.width = max(lengths.values(), default=1)
+        self.code[symbols], self.bits[symbols] = first >> (self.width - bits), bits
         self.table = np.ones(1 << self.width, np.uint32)  # the symbol, times 32, and the length of the code that these bits begin with
-        code = last = 0
-        for s in order:
-            n = lengths[s]
-            code <<= n - last
-            self.code[s], self.bits[s] = code, n
-            first = code << (self.width - n)
-            self.table[first : first + (1 << (self.width - n))] = s * 32 + n
-            code, last = code + 1, n
+        self.table[: spans.sum()] = np.repeat(symbols * 32 + bits, spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bits of all codes, zero-padded by 8 bytes at least, and the bit offset of each block's first token."""
@@ -222,8 +220,8 @@ def shared_encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-_RAW = "part int, seq bigint, doc_ids array<bigint>, n_tokens array<bigint>, low binary, high binary"
-_RAW_TYPES = {"part": pa.int32(), "seq": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary()}
+_RAW = "part int, seq bigint, doc_ids array<bigint>, n_tokens array<bigint>, low binary, high binary, counted binary"
+_RAW_TYPES = {"part": pa.int32(), "seq": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64()), "low": pa.binary(), "high": pa.binary(), "counted": pa.binary()}
 _SEGMENT_TYPES = {"part": pa.int32(), "seq": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64()), "payload": pa.binary(), "checkpoints": pa.list_(pa.int64()), "n_ids": pa.int64()}
 
 
@@ -245,7 +243,7 @@ def _from_planes(low: bytes, high: bytes) -> np.ndarray:
 
 
 def _tokenise(ordered: DataFrame, tokenizer: str, segment_tokens: int) -> DataFrame:
-    """Runs of documents with their ids, in the order of the partitions and their rows."""
+    """Runs of documents with their ids, in the order of the partitions and their rows; `counted` in a task's last one has all its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -254,11 +252,16 @@ def _tokenise(ordered: DataFrame, tokenizer: str, segment_tokens: int) -> DataFr
         names: list = []
         sizes: list = []
         held: list = []
+        total = np.zeros(0, np.int64)
 
-        def segment():
-            nonlocal seq
-            low, high = _planes(np.concatenate(held))
-            row = _row(_RAW_TYPES, part=part, seq=seq, doc_ids=list(names), n_tokens=list(sizes), low=low, high=high)
+        def segment(last: bool = False):
+            nonlocal seq, total
+            ids = np.concatenate(held)
+            counts = np.bincount(ids, minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+            low, high = _planes(ids)
+            row = _row(_RAW_TYPES, part=part, seq=seq, doc_ids=list(names), n_tokens=list(sizes), low=low, high=high, counted=total.astype("<i8").tobytes() if last else None)
             seq += 1
             for x in (names, sizes, held):
                 x.clear()
@@ -267,32 +270,34 @@ def _tokenise(ordered: DataFrame, tokenizer: str, segment_tokens: int) -> DataFr
         for b in batches:
             texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
             for i, j in steps(texts, 500_000):
+                if sum(map(len, held)) >= segment_tokens:
+                    yield segment()
                 found, n = encoder.encode(texts[i:j])
                 names += ids[i:j]
                 sizes += n.tolist()
                 held.append(found)
-                if sum(map(len, held)) >= segment_tokens:
-                    yield segment()
         if held:
-            yield segment()
+            yield segment(last=True)
 
     return ordered.mapInArrow(run, _RAW)
 
 
 def _count(raw: DataFrame) -> dict[int, int]:
-    """Occurrences of each id over all documents (at most one entry per id of the vocabulary)."""
+    """Occurrences of each id over all documents (at most one entry per id of the vocabulary), from the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for k in range(b.num_rows):
-                found = np.bincount(_from_planes(b["low"][k].as_py(), b["high"][k].as_py()), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            for x in b["counted"]:
+                found = np.frombuffer(x.as_py(), "<i8")
+                grown = np.zeros(max(len(total), len(found)), np.int64)
+                grown[: len(total)] = total
+                grown[: len(found)] += found
+                total = grown
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    rows = raw.select("low", "high").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = raw.select("counted").where("counted is not null").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
@@ -319,7 +324,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, segment_tokens: int
                 payload, checkpoints = book.encode(ids)
                 yield _row(_SEGMENT_TYPES, **{n: b[n][k].as_py() for n in ("part", "seq", "doc_ids", "n_tokens")}, payload=payload, checkpoints=checkpoints.tolist(), n_ids=len(ids))
 
-    raw.mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
+    raw.drop("counted").mapInArrow(run, _SEGMENT).write.option("compression", "none").parquet(f"{path}/segments")
     delete_folder(spark, f"{path}/raw")
 
 
