@@ -18,31 +18,40 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def utf16_units(text: Column) -> Column:
+    """The UTF-16 units of a text as numbers: characters beyond the first plane are two."""
+
+    def units(c: Column) -> Column:
+        p = F.ascii(c).cast("bigint")
+        return F.when(p > 0xFFFF, F.array(0xD800 + F.shiftright(p - 0x10000, 10), 0xDC00 + (p - 0x10000).bitwiseAND(F.lit(0x3FF)))).otherwise(F.array(p))
+
+    return F.flatten(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), units))
+
+
 def fnv1a64_hex(text: Column) -> Column:
-    """FNV-1a over code points, 16 hex digits. The state is held in two halves of 32 bits, so nothing overflows.
+    """FNV-1a over UTF-16 units, 16 hex digits. The state is held in two halves of 32 bits, so nothing overflows.
 
     The prime is 2**40 + 435: high half = high * 435 + carry of low * 435 + low shifted by 8.
     """
     zero = F.struct(F.lit(_OFFSET >> 32).alias("hi"), F.lit(_OFFSET & _MASK).alias("lo"))
 
     def step(s: Column, c: Column) -> Column:
-        lo = s["lo"].bitwiseXOR(F.ascii(c).cast("bigint"))
+        lo = s["lo"].bitwiseXOR(c)
         product = lo * 435
         hi = (s["hi"] * 435 + F.shiftright(product, 32) + F.shiftleft(lo, 8)).bitwiseAND(F.lit(_MASK))
         return F.struct(hi.alias("hi"), product.bitwiseAND(F.lit(_MASK)).alias("lo"))
 
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.lower(F.aggregate(chars, zero, step, lambda s: F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0"))))
+    return F.lower(F.aggregate(utf16_units(text), zero, step, lambda s: F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0"))))
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a of 32 bits as a number; the prime 2**24 + 403 in two products."""
+    """FNV-1a of 32 bits over UTF-16 units, as a number; the prime 2**24 + 403 in two products."""
 
     def step(h: Column, c: Column) -> Column:
-        x = h.bitwiseXOR(F.ascii(c).cast("bigint"))
+        x = h.bitwiseXOR(c)
         return (x * 403 + F.shiftleft(x, 24)).bitwiseAND(F.lit(_MASK))
 
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0x811C9DC5).cast("bigint"), step)
+    return F.aggregate(utf16_units(text), F.lit(0x811C9DC5).cast("bigint"), step)
 
 
 def _simhash(text: str | None) -> int | None:

@@ -66,15 +66,92 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+# Look-alikes in the order in which they are tried, and fillers of forwarded texts by language.
+LOOKALIKES = {"a": "а", "e": "е", "o": "о", "p": "р", "c": "с", "x": "х", "y": "у"}
+FILLERS = {"hi": ("bhai", "jaldi", "turant", "paisa", "confirm karo"), "mr": ("bhau", "lagech", "paisa", "confirm kara"), "ta": ("thambi", "udane", "panam"), "en": ("bro", "urgent", "money")}
+OTHER_FILLER = "ok"
+
+
+def obfuscate(text: Column, u: Column) -> Column:
+    """text with a hidden character at the place u (0..1) and the first look-alike that it has a letter for, once."""
+    at = F.floor(u * F.length(text)).cast("int")
+    hidden = F.concat(F.substring(text, F.lit(1), at), F.lit("\u200b"), F.substring(text, at + 1, F.length(text)))
+    out = hidden
+    for letter, like in reversed(LOOKALIKES.items()):
+        out = F.when(F.contains(text, F.lit(letter)), F.regexp_replace(hidden, f"^([^{letter}]*){letter}", f"$1{like}")).otherwise(out)
+    return F.when(F.length(text) > 0, out).otherwise(text)
+
+
+def with_filler(text: Column, lang: Column, u: Column) -> Column:
+    """text with one of its language's fillers behind it."""
+    filler = F.lit(OTHER_FILLER)
+    for name, words in FILLERS.items():
+        filler = F.when(lang == name, F.element_at(F.array(*map(F.lit, words)), (F.floor(u * len(words)) + 1).cast("int"))).otherwise(filler)
+    return F.concat(text, F.lit(" "), filler)
+
+
+def noisy(text: Column, twice: Column, shout: Column, rupees: Column) -> Column:
+    """text with its first space doubled, three exclamation marks behind it and the rupee sign spelled out, each where its number (0..1) is low."""
+    text = F.when(twice < 0.5, F.regexp_replace(text, "^([^ ]*) ", "$1  ")).otherwise(text)
+    text = F.when(shout < 0.3, F.concat(text, F.lit(" !!!"))).otherwise(text)
+    return F.when(rupees < 0.2, F.replace(text, F.lit("₹"), F.lit("Rs "))).otherwise(text)
+
+
 def expand_variants(templates: DataFrame, variants: int) -> DataFrame:
-    """Every template in `variants` forms: a prefix, a suffix, hidden characters and noise, each by its own fixed chance."""
+    """Every template (template, text, lang) in `variants` forms: a prefix, a suffix, a filler, hidden characters and noise, each by its own fixed chance."""
     rows = templates.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
     u = lambda name: uniform(F.col("template"), F.col("variant"), F.lit(name))
     text = F.when(u("prefix") < 0.35, F.concat(F.lit("FYI: "), F.col("text"))).otherwise(F.col("text"))
-    text = F.when(u("suffix") < 0.3, F.concat(text, F.lit(" Reply soon."))).otherwise(text)
-    text = F.when(u("hide") < 0.22, F.replace(text, F.lit("a"), F.lit("а"))).otherwise(text)
-    text = F.when(u("noise") < 0.25, F.regexp_replace(text, " ", "  ")).otherwise(text)
-    return rows.select("template", "variant", text.alias("text"), split_of(F.col("template")).alias("split"))
+    rows = rows.withColumn("_t", F.when(u("suffix") < 0.3, F.concat(text, F.lit(" Reply soon."))).otherwise(text))
+    rows = _once(rows, "_m", F.when(u("mix") < 0.25, with_filler(F.col("_t"), F.col("lang"), u("filler"))).otherwise(F.col("_t")))
+    rows = _once(rows, "_h", F.when(u("hide") < 0.22, obfuscate(F.col("_m"), u("place"))).otherwise(F.col("_m")))
+    text = F.when(u("noise") < 0.25, noisy(F.col("_h"), u("twice"), u("shout"), u("rupees"))).otherwise(F.col("_h"))
+    return rows.select("template", "lang", "variant", text.alias("text"), split_of(F.col("template")).alias("split"))
+
+
+def eligible(rows: DataFrame, tasks: tuple[str, ...] | None = None, splits: tuple[str, ...] = ("train",)) -> DataFrame:
+    """rows of the given splits and tasks (None: all)."""
+    rows = rows.where(F.col("split").isin(*splits))
+    return rows if tasks is None else rows.where(F.col("task").isin(*tasks))
+
+
+def unclamped(items: DataFrame, markers: str, keys: str) -> DataFrame:
+    """Items whose options all kept their marker."""
+    return items.where(F.size(markers) == F.size(keys))
+
+
+def first_best(target: Column) -> Column:
+    """Position from 0 of the first largest target: an item's label."""
+    return F.array_position(target, F.array_max(target)) - 1
+
+
+def collate(items: DataFrame, batch: str, ids: str, markers: str, pad: int) -> DataFrame:
+    """items with ids and markers filled up to their batch's longest, and masks (1 where there is something)."""
+    sizes = items.groupBy(batch).agg(F.max(F.size(ids)).alias("_ids"), F.max(F.size(markers)).alias("_markers"))
+    fill = lambda c, to, v: F.concat(c, F.array_repeat(F.lit(v), F.col(to) - F.size(c)))
+    mask = lambda c, to: F.concat(F.transform(c, lambda _: F.lit(1)), F.array_repeat(F.lit(0), F.col(to) - F.size(c)))
+    out = {ids: fill(ids, "_ids", pad), markers: fill(markers, "_markers", 0), f"{ids}_mask": mask(ids, "_ids"), f"{markers}_mask": mask(markers, "_markers")}
+    return items.join(sizes, batch).withColumns(out).drop("_ids", "_markers")
+
+
+def numbered(rows: DataFrame, order: str, block: int = 4096) -> DataFrame:
+    """rows with `number` from 0 by a whole-number order: counted per block of it, and within each block by a window."""
+    rows = rows.withColumn("_b", F.floor(F.col(order) / block))
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1).join(starts, "_b").withColumn("number", F.col("_s") + F.col("_r")).drop("_b", "_r", "_s")
+
+
+def rank_shards(rows: DataFrame, order: str, world: int) -> DataFrame:
+    """rows with rank and step: dealt to `world` ranks in turn; what does not make a full turn is left out."""
+    n = rows.agg(F.count(F.lit(1)).alias("_all"))
+    out = numbered(rows, order).join(F.broadcast(n)).where(F.col("number") < F.col("_all") - F.pmod("_all", F.lit(world)))
+    return out.withColumns({"rank": F.pmod("number", F.lit(world)), "step": F.floor(F.col("number") / world)}).drop("number", "_all")
+
+
+def hold_out(rows: DataFrame, key: str, seed: int, share: float = 0.1) -> DataFrame:
+    """rows with held_out: about the share of them, fixed by key and seed."""
+    return rows.withColumn("held_out", uniform(F.col(key), F.lit(seed)) < share)
 
 
 def soft_target(label: Column, k: int, sure: float = 0.98) -> Column:

@@ -23,6 +23,25 @@ def route(rows: DataFrame, key: str, text: str) -> DataFrame:
     return ranked.select(key, F.when(margin > 0, top["concept"]).alias("concept"), top["score"].alias("score"), margin.alias("margin"))
 
 
+def alternatives(rows: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
+    """key, concept, seq, other: the n concepts to offer beside the best one, or from the best on where nothing or a tie is on top."""
+    ranked = rows.select(key, concept_scores(F.lower(text)).alias("r"))
+    sure = F.col("r")[0]["score"] > F.col("r")[1]["score"]
+    others = F.when(sure, F.slice("r", 2, n)).otherwise(F.slice("r", 1, n))
+    return ranked.select(key, F.when(sure, F.col("r")[0]["concept"]).alias("concept"), F.posexplode(others).alias("seq", "o")).select(key, "concept", "seq", F.col("o.concept").alias("other"))
+
+
+def refine(routed: DataFrame, answers: DataFrame, key: str, calibrated: Column) -> DataFrame:
+    """routed (key, concept) with `refined` by the answers (key, leaf, family, p, abstained, ord): the leaf of the largest p (the first on ties).
+
+    Without an answer that does not abstain the family's fallback stands, and without calibration the routed concept.
+    """
+    said = ~F.col("abstained")
+    best = answers.groupBy(key).agg(F.max_by("leaf", F.when(said, F.struct("p", -F.col("ord")))).alias("_leaf"), F.min_by("family", "ord").alias("_family"))
+    found = F.coalesce(concept_for_bank_key(F.col("_leaf")), concept_for_family(F.col("_family")), F.col("concept"))
+    return routed.join(best, key, "left").withColumn("refined", F.when(calibrated, found).otherwise(F.col("concept"))).drop("_leaf", "_family")
+
+
 def concept_for_bank_key(key: Column) -> Column:
     names = [c for c, _, _ in CONCEPTS]
     out = F.when(key.isin(*names), key)

@@ -72,6 +72,10 @@ def stream_redaction(spark, d):
     return questions.redact_stream(c, "conv_id", "(?i)buy|sell|thththt").groupBy("redacted").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+_REDACT = r"""WITH t AS (SELECT conv_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS t FROM conversations GROUP BY 1), h AS (SELECT t, regexp_extract(t, '(?is)^(.*?)(buy|sell|thththt)', 1) AS head, regexp_matches(t, '(?i)buy|sell|thththt') AS redacted FROM t)
+SELECT redacted, count(*) AS n, sum(length(CASE WHEN redacted THEN head || '[removed]' ELSE t END))::BIGINT AS chars FROM h GROUP BY 1"""
+
+
 QUERIES = {
     "render_options": (render_options, _RENDER),
     "bank_validation": (bank_validation, "SELECT * FROM (VALUES ('demo', 'fee', 'instructions'), ('demo', 'fee', 'triage_key'), ('demo', 'risk', 'options')) v(bank, qid, rule)"),
@@ -81,5 +85,5 @@ QUERIES = {
     "concept_fallback": (concept_fallback, _FALLBACK),
     "command_search": (command_search, "SELECT concept, count(*) AS keys FROM " + "(SELECT * FROM " + dim.sql_values([(c, i, k) for i, (c, _, ks) in enumerate(dim.CONCEPTS) for k in ks], "c(concept, ord, key)") + ") WHERE contains(lower(concept), 'ip') OR contains(lower(key), 'ip') GROUP BY concept, ord ORDER BY ord LIMIT 9"),
     "bpe_encode": (bpe_encode, None),
-    "stream_redaction": (stream_redaction, None),
+    "stream_redaction": (stream_redaction, _REDACT),
 }

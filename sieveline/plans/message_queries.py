@@ -208,7 +208,8 @@ def _answers(rows: DataFrame) -> DataFrame:
 
 def tier1_fusion(spark, d):
     rows = tier0.tier0(messages(spark, d)).select("msg_id", "score", "families", "evidence")
-    return fusion.fuse(rows, _triage(rows), _answers(rows.select("msg_id")))
+    ids = messages(spark, d).select("msg_id")
+    return fusion.fuse(rows, _triage(ids), _answers(ids))
 
 
 _ANSWERS = """triage AS (SELECT msg_id, CASE WHEN msg_id % 7 = 0 THEN 'education' WHEN msg_id % 7 < 4 THEN 'investment' ELSE 'payment' END AS choice, msg_id % 5 = 0 AS abstained FROM msg WHERE msg_id % 11 <> 0),
@@ -243,10 +244,10 @@ def concept_routing(spark, d):
     return routing.route(_norm(spark, d), "msg_id", "norm")
 
 
-_KEYS = "(SELECT * FROM " + dim.sql_values([(c, i, k) for i, (c, _, ks) in enumerate(dim.CONCEPTS) for k in ks], "c(concept, ord, key)") + ")"
-_ROUTE = f"""WITH {_NORM}, s AS (SELECT msg_id, concept, ord, sum(CASE WHEN contains(norm, key) THEN length(key) ELSE 0 END) AS score FROM norm, {_KEYS} GROUP BY 1, 2, 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY score DESC, ord) AS r FROM s)
-SELECT a.msg_id, CASE WHEN a.score > b.score THEN a.concept END AS concept, a.score::BIGINT AS score, (a.score - b.score)::BIGINT AS margin FROM r a JOIN r b ON b.msg_id = a.msg_id AND b.r = 2 WHERE a.r = 1"""
+#: Concepts as structs of minus the score, place and name, best first.
+_SCORES = "list_sort([" + ", ".join("{'s': -(" + " + ".join(f"CASE WHEN contains(norm, '{k}') THEN {len(k)} ELSE 0 END" for k in ks) + f"), 'o': {i}, 'c': '{c}'}}" for i, (c, _, ks) in enumerate(dim.CONCEPTS)) + "])"
+_ROUTE = f"""WITH {_NORM}, s AS (SELECT msg_id, {_SCORES} AS r FROM norm)
+SELECT msg_id, CASE WHEN r[1].s < r[2].s THEN r[1].c END AS concept, (-r[1].s)::BIGINT AS score, (r[2].s - r[1].s)::BIGINT AS margin FROM s"""
 
 
 def simhash_documents(spark, d):

@@ -184,8 +184,21 @@ def prefix_dedupe(spark, d):
 
 
 def variant_expansion(spark, d):
-    t = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("template"), F.concat("p_name", F.lit(" of "), "p_brand").alias("text"))
-    return dataset.expand_variants(t, 3).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").startswith("FYI: ")).alias("prefixed"), F.count_if(F.col("text").endswith("Reply soon.")).alias("suffixed"))
+    langs = F.array(*map(F.lit, ("en", "hi", "mr", "ta", "bn")))
+    t = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("template"), F.concat("p_name", F.lit(" of ₹"), "p_brand").alias("text"), F.element_at(langs, (F.pmod("p_partkey", F.lit(5)) + 1).cast("int")).alias("lang"))
+    return dataset.expand_variants(t, 3)
+
+
+_DRAW = "(('0x' || substr(sha256(concat_ws('|', template, variant, '{0}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_FILLER = "CASE lang " + " ".join(f"WHEN '{x}' THEN {list(ws)}[floor({_DRAW.format('filler')} * {len(ws)})::INTEGER + 1]" for x, ws in dataset.FILLERS.items()) + f" ELSE '{dataset.OTHER_FILLER}' END"
+_LIKE = "CASE " + " ".join(f"WHEN contains(m, '{x}') THEN regexp_replace(z, '^([^{x}]*){x}', '\\1{y}')" for x, y in dataset.LOOKALIKES.items()) + " ELSE z END"
+_VARIANTS = f"""WITH t AS (SELECT p_name AS template, p_name || ' of ₹' || p_brand AS text, ['en', 'hi', 'mr', 'ta', 'bn'][p_partkey % 5 + 1] AS lang, unnest([0, 1, 2]) AS variant FROM part),
+a AS (SELECT *, CASE WHEN {_DRAW.format("prefix")} < 0.35 THEN 'FYI: ' || text ELSE text END AS p FROM t), b AS (SELECT *, CASE WHEN {_DRAW.format("suffix")} < 0.3 THEN p || ' Reply soon.' ELSE p END AS s FROM a),
+c AS (SELECT *, CASE WHEN {_DRAW.format("mix")} < 0.25 THEN s || ' ' || {_FILLER} ELSE s END AS m FROM b), d AS (SELECT *, floor({_DRAW.format("place")} * length(m))::INTEGER AS k FROM c),
+e AS (SELECT *, left(m, k) || chr(8203) || substr(m, k + 1) AS z FROM d), f AS (SELECT *, CASE WHEN {_DRAW.format("hide")} < 0.22 THEN {_LIKE} ELSE m END AS h FROM e),
+g AS (SELECT *, CASE WHEN {_DRAW.format("twice")} < 0.5 THEN regexp_replace(h, '^([^ ]*) ', '\\1  ') ELSE h END AS n1 FROM f), i AS (SELECT *, CASE WHEN {_DRAW.format("shout")} < 0.3 THEN n1 || ' !!!' ELSE n1 END AS n2 FROM g),
+j AS (SELECT *, CASE WHEN {_DRAW.format("rupees")} < 0.2 THEN replace(n2, '₹', 'Rs ') ELSE n2 END AS n3, {_SPLIT.format(k="template")} AS q FROM i)
+SELECT template, lang, variant, CASE WHEN {_DRAW.format("noise")} < 0.25 THEN n3 ELSE h END AS text, CASE WHEN q < 70 THEN 'train' WHEN q < 85 THEN 'val' ELSE 'test' END AS split FROM j"""
 
 
 def transcript_hard_split(spark, d):
@@ -289,7 +302,7 @@ QUERIES = {
     "rare_class_weights": (rare_class_weights, "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), w AS (SELECT *, pow((SELECT sum(n) FROM c) / n, 0.35) AS w FROM c) SELECT lang, source, n, round(w / avg(w) OVER (), 6) AS weight FROM w"),
     "round_robin_sample": (round_robin_sample, "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) ORDER BY turn, source LIMIT 50"),
     "prefix_dedupe": (prefix_dedupe, "SELECT left(lower(text), 24) AS prefix, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1"),
-    "variant_expansion": (variant_expansion, None),
+    "variant_expansion": (variant_expansion, _VARIANTS),
     "transcript_hard_split": (transcript_hard_split, _HARD),
     "transcript_windows": (transcript_windows, None),
     "lens_aggregate": (lens_aggregate, None),
