@@ -46,3 +46,12 @@ def fuse(tier0: DataFrame, triage: DataFrame, answers: DataFrame, key: str = "ms
     score = F.when(F.col("_soft"), F.greatest(F.lit(0.0), F.col("_added") - 1.5)).otherwise(F.col("_added"))
     families = F.col("families") + F.when(asked, F.coalesce("_extra", F.lit(0))).otherwise(0)
     return rows.select(key, score.alias("score"), families.cast("bigint").alias("families"), F.when(asked, "T0+T1").otherwise("T0").alias("tier")).withColumn("rung", rung(F.col("score"), F.col("families")))
+
+
+def all_evidence(tier0: DataFrame, answers: DataFrame, key: str = "msg_id") -> DataFrame:
+    """key, evidence: the deterministic entries (code, weight, source) followed by one for each confident yes, in order of qid."""
+    yes = ~F.col("abstained") & (F.col("noul") >= FOLLOWUP_YES)
+    entry = F.struct(F.upper("qid").alias("code"), followup_weight(F.col("qid")).cast("double").alias("weight"), F.lit("model").alias("source"))
+    added = answers.where(yes).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_more"))
+    own = F.transform("evidence", lambda e: F.struct(e["code"].alias("code"), e["weight"].cast("double").alias("weight"), e["source"].alias("source")))
+    return tier0.join(added, key, "left").select(key, F.concat(own, F.coalesce("_more", F.array().cast("array<struct<code:string,weight:double,source:string>>"))).alias("evidence"))

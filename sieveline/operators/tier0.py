@@ -127,3 +127,12 @@ def tier0(messages: DataFrame, text_col: str = "text") -> DataFrame:
 
 def fingerprinted(rows: DataFrame, norm: str = "norm") -> DataFrame:
     return rows.withColumns({"hash": fingerprint.sha256_hex(F.col(norm)), "simhash": fingerprint.simhash64(F.col(norm))})
+
+
+def family_map(hits: DataFrame, key: str) -> DataFrame:
+    """key, seq, family, terms, detail from hits (key, family, term, first_end): families by their first hit, each with its terms
+    in that order (ties by name), and the first three of them as text."""
+    own = hits.groupBy(key, "family").agg(F.array_sort(F.collect_list(F.struct("first_end", "term"))).alias("_h"))
+    own = own.select(key, F.struct(F.col("_h")[0]["first_end"].alias("at"), F.col("family"), F.transform("_h", lambda h: h["term"]).alias("terms")).alias("f"))
+    listed = own.groupBy(key).agg(F.array_sort(F.collect_list("f")).alias("fs"))
+    return listed.select(key, F.posexplode("fs").alias("seq", "f")).select(key, "seq", "f.family", "f.terms", F.array_join(F.slice("f.terms", 1, 3), ", ").alias("detail"))

@@ -42,6 +42,12 @@ def spoken_lines(spark, d):
     return rows.groupBy("lang", questions.voice_response(line, F.col("lang")).alias("xml")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_MOOD = "CASE WHEN rung IN ('known_scam', 'likely_scam') THEN 'danger' WHEN rung = 'caution' THEN 'careful' WHEN rung = 'unclear' THEN 'unsure' ELSE 'calm' END"
+_LINES = "(SELECT * FROM " + dim.sql_values([(c, m, x) for c, ms in questions.SPOKEN.items() for m, x in ms.items()], "l(code, mood, line)") + ")"
+_SPOKEN = f"""WITH {_EVIDENCE}, r AS (SELECT lang, CASE WHEN lower(lang) LIKE 'hi%' THEN 'hi' ELSE 'en' END AS code, {_MOOD} AS mood FROM verdicts JOIN msg USING (msg_id))
+SELECT lang, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Response><Say language="' || code || '-IN">' || line || '</Say><Hangup/></Response>' AS xml, count(*) AS n FROM r JOIN {_LINES} USING (code, mood) GROUP BY 1, 2"""
+
+
 def market_paths(spark, d):
     return market.outcome(market.paths(spark, 7, 2), 2).select(F.round("hold", 4).alias("hold"), F.round("panic", 4).alias("panic"))
 
@@ -80,7 +86,7 @@ QUERIES = {
     "render_options": (render_options, _RENDER),
     "bank_validation": (bank_validation, "SELECT * FROM (VALUES ('demo', 'fee', 'instructions'), ('demo', 'fee', 'triage_key'), ('demo', 'risk', 'options')) v(bank, qid, rule)"),
     "explain_fallback": (explain_fallback, _EXPLAIN),
-    "spoken_lines": (spoken_lines, None),
+    "spoken_lines": (spoken_lines, _SPOKEN),
     "market_paths": (market_paths, None),
     "concept_fallback": (concept_fallback, _FALLBACK),
     "command_search": (command_search, "SELECT concept, count(*) AS keys FROM " + "(SELECT * FROM " + dim.sql_values([(c, i, k) for i, (c, _, ks) in enumerate(dim.CONCEPTS) for k in ks], "c(concept, ord, key)") + ") WHERE contains(lower(concept), 'ip') OR contains(lower(key), 'ip') GROUP BY concept, ord ORDER BY ord LIMIT 9"),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import banks, dataset, routing
-from .message_queries import _NORM, _SCORES, _norm
+from ..operators import banks, dataset, fusion, routing, tier0, tokenizer
+from ..sources import files
+from ..sources.dimensions import FOLLOWUP_DEFAULT, FOLLOWUP_WEIGHTS, FOLLOWUP_YES
+from ..sources.messages import messages
+from .message_queries import _ANSWERS, _LEX, _NORM, _SCORES, _answers, _norm
 
 
 def _bank_json(spark, d):
@@ -116,9 +119,55 @@ def held_out_rows(spark, d):
     return rows.groupBy("lang", "held_out").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
+def fused_evidence(spark, d):
+    rows = tier0.tier0(messages(spark, d)).select("msg_id", "evidence")
+    out = fusion.all_evidence(rows, _answers(messages(spark, d).select("msg_id")))
+    return out.select(F.explode("evidence").alias("e")).groupBy("e.code", "e.source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("e.weight"), 4).alias("weight")).where("source = 'model'")
+
+
+_FUSED = f"""WITH {_NORM}, {_ANSWERS}, w AS (SELECT upper(qid) AS code, CASE qid {" ".join(f"WHEN '{q}' THEN {w}" for q, w in FOLLOWUP_WEIGHTS.items())} ELSE {FOLLOWUP_DEFAULT} END::DOUBLE AS weight FROM answers WHERE NOT abstained AND noul >= {FOLLOWUP_YES})
+SELECT code, 'model' AS source, count(*) AS n, round(sum(weight), 4) AS weight FROM w GROUP BY code"""
+
+
+def family_order(spark, d):
+    rows = tier0.family_map(tier0.automaton_hits(_norm(spark, d), "msg_id"), "msg_id")
+    return rows.select("msg_id", "seq", "family", "detail")
+
+
+_ORDER = f"""WITH {_NORM}, h AS (SELECT msg_id, family, term, strpos(norm, term) + length(term) AS pos FROM norm JOIN {_LEX} ON contains(norm, term)),
+t AS (SELECT msg_id, family, min(pos) AS pos, list(term ORDER BY pos, term) AS terms FROM h GROUP BY 1, 2)
+SELECT msg_id, (row_number() OVER (PARTITION BY msg_id ORDER BY pos, family) - 1)::INTEGER AS seq, family, array_to_string(terms[1:3], ', ') AS detail FROM t"""
+
+
+def parity_replay(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    z = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    made = e.where("vec_id % 97 <> 1").select("vec_id", F.array(F.col("vec_id"), F.when(F.pmod("vec_id", F.lit(41)) == 0, 0).otherwise(F.col("label"))).alias("ids"), F.transform(z, lambda x: F.round(x, 1)).alias("logits"))
+    out = tokenizer.parity(e.select("vec_id", F.array(F.col("vec_id"), F.col("label").cast("bigint")).alias("ids"), z.alias("logits")), made, "vec_id", 0.35)
+    return out.select("ids_wrong", F.round("max_delta", 6).alias("max_delta"), F.round("top1", 6).alias("top1"), "vectors", "ok")
+
+
+_PARITY = """WITH v AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS z FROM embeddings), w AS (SELECT *, list_transform(z, lambda x: round(x, 1)) AS y, vec_id % 97 = 1 AS lost FROM v),
+r AS (SELECT lost OR (vec_id % 41 = 0 AND label <> 0) AS wrong, CASE WHEN NOT lost THEN list_max(list_transform(range(1, 9), lambda i: abs(z[i] - y[i]))) END AS delta, CASE WHEN NOT lost THEN list_position(z, list_max(z)) = list_position(y, list_max(y)) END AS same FROM w)
+SELECT count(CASE WHEN wrong THEN 1 END) AS ids_wrong, round(max(delta), 6) AS max_delta, round(avg(same::INTEGER), 6) AS top1, count(*) AS vectors, count(CASE WHEN wrong THEN 1 END) = 0 AND max(delta) <= 0.35 AS ok FROM r"""
+
+
+def manifests(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    rows = s.select(F.col("s_name").alias("modelVersion"), F.lit(512).alias("maxLen"), F.lit(128).alias("headMaxLen"), F.array(F.col("s_suppkey") / 4, F.lit(1.0), F.lit(9.0)).alias("temperature"),
+        F.create_map(F.lit("noul:2"), F.lit(0.25), F.lit("choice:2"), F.col("s_suppkey") / 2).alias("temperatureByBucket"), F.create_map(F.lit("default"), F.lit(0.123456)).alias("abstain"))
+    return files.build_manifest(rows, {"evals": "none"})
+
+
+_MANIFESTS = """SELECT '{"schema":2,"modelVersion":"' || s_name || '","maxLen":512,"headMaxLen":128,"qtypes":{"choice":0,"score":1,"noul":2},"temperature":[' || greatest(0.5::DOUBLE, least(5.0::DOUBLE, s_suppkey / 4.0::DOUBLE)) || ',1.0,5.0],"temperatureByBucket":{"choice:2":' || greatest(0.5::DOUBLE, least(5.0::DOUBLE, s_suppkey / 2.0::DOUBLE)) || ',"noul:2":0.5},"abstain":{"default":0.1235},"evals":"none"}' AS json FROM supplier"""
+
 _U = "(('0x' || substr(sha256({0}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 QUERIES = {
+    "fused_evidence": (fused_evidence, _FUSED),
+    "family_order": (family_order, _ORDER),
+    "parity_replay": (parity_replay, _PARITY),
+    "manifests": (manifests, _MANIFESTS),
     "bank_rules": (bank_rules, _RULES),
     "option_keys": (option_keys, _KEYS),
     "bank_most_questions": (bank_most_questions, _MOST),

@@ -44,3 +44,36 @@ def parse_manifest(raw: DataFrame, column: str) -> DataFrame:
         *raw.columns, number.alias("schema"), F.coalesce("_m.modelVersion", F.lit("uncalibrated")).alias("model"), ((number >= 2) & (F.size(by_bucket) > 0) & ~report).alias("calibrated"),
         report.alias("report_only"), F.coalesce("_m.temperature", F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))).alias("by_type"), by_bucket.alias("by_bucket"), F.coalesce("_m.abstain", empty).alias("cuts"),
     )
+
+
+def build_manifest(rows: DataFrame, extras: dict[str, str] | None = None) -> DataFrame:
+    """json: one manifest per row of modelVersion, maxLen, headMaxLen, temperature (array), temperatureByBucket and abstain (maps).
+
+    Temperatures are clamped, cuts rounded to four places, keys of maps in order; extras are more fields of text.
+    """
+    from ..functions.decode import TYPES, clamp_temperature
+
+    in_order = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
+    fields = [
+        F.lit(2).alias("schema"), "modelVersion", "maxLen", "headMaxLen", F.create_map(*[F.lit(x) for i, t in enumerate(TYPES) for x in (t, i)]).alias("qtypes"),
+        F.transform("temperature", clamp_temperature).alias("temperature"), F.transform_values(in_order("temperatureByBucket"), lambda _, t: clamp_temperature(t)).alias("temperatureByBucket"),
+        F.transform_values(in_order("abstain"), lambda _, c: F.round(c, 4)).alias("abstain"), *[F.lit(v).alias(k) for k, v in (extras or {}).items()],
+    ]
+    return rows.select(F.to_json(F.struct(*fields)).alias("json"))
+
+
+def write_documents(rows: DataFrame, path: str, key: str) -> None:
+    """One JSON document per row in a folder for each key; the commit's mark comes last, so that readers see whole writes only."""
+    columns = [c for c in rows.columns if c != key]
+    rows.select(key, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Check records of a history of JSON arrays, one file each; a file that cannot be parsed has none."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})).alias("r")).select("r.*")
+
+
+def shared_fields(verdicts: DataFrame) -> DataFrame:
+    """What is sent to the shared cache: hash, rung and codes, never the text."""
+    return verdicts.select("hash", "rung", "codes")

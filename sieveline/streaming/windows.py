@@ -40,6 +40,9 @@ def limited_stream(calls: DataFrame, window: int, limit: int) -> DataFrame:
     """The rate limiter over a stream of (user_id, s, event_id): its state per key is the window's opening and its count."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing for a whole window: a later call would open a new one anyway
+            state.remove()
+            return
         opened, n = state.get if state.exists else (None, 0)
         rows = pd.concat(list(batches)).sort_values(["s", "event_id"])
         flags = []
@@ -51,9 +54,10 @@ def limited_stream(calls: DataFrame, window: int, limit: int) -> DataFrame:
                 flags.append(n >= limit)
                 n += n < limit
         state.update((opened, n))
+        state.setTimeoutDuration(1000 * window)
         yield rows.assign(limited=flags)[["user_id", "s", "event_id", "limited"]]
 
-    return calls.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, s bigint, event_id bigint, limited boolean", "opened bigint, n int", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, s bigint, event_id bigint, limited boolean", "opened bigint, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
