@@ -24,48 +24,70 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This project is licensed under the MIT License, see the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction. The software is provided as is, without warranty of any kind.",
         "SPDX-License-Identifier: MIT",
+        "Available under the MIT License.",
+        "Lizenziert unter der MIT-Lizenz.",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache 2.0",
     ),
     "bsd": (
         "This software is released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "This software is released under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "GNU GPL",
+        "GPLv2",
+        "GPLv3",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute this library and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "GNU LGPL",
+        "LGPLv3",
     ),
     "mpl": (
         "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "Licensed under the Mozilla Public License 2.0.",
     ),
     "cc-by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
         "Text is available under the Creative Commons Attribution-ShareAlike License.",
     ),
     "cc-by-nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
         "Licensed under CC BY-NC-ND 4.0 for non-commercial use.",
     ),
     "public-domain": (
         "This work has been dedicated to the public domain under the CC0 1.0 Universal license.",
         "Released into the public domain; no copyright is claimed.",
+        "SPDX-License-Identifier: CC0-1.0",
     ),
     "proprietary": (
         "All rights reserved.",
@@ -82,11 +104,17 @@ ORDINARY = frozenset(
     "general granted has hereby holder identifier in international into is it kind later lesser library list may met modification modify must "
     "nc no not notice obtain obtaining of only or org part permission permitted person prior program project proprietary provided public "
     "publication published redistribute reproduced reserved restriction retain rights sa see software source subject terms text that the this "
-    "to under universal use uses v version with without work written you your attribution available commercial non nd released".split()
+    "der unter to under universal use uses v version with without work written you your attribution available commercial non nd released".split()
 )
 #: Words that tell only in a pair: alone they are words of other languages or topics.
 PAIRED = frozenset(("mit", "cc", "commons", "warranty"))
+#: Pairs of ordinary words of another language.
+ORDINARY_PAIRS = frozenset(("der mit",))
 UNKNOWN = "unknown"
+#: Identifiers of licences without a family here: statements of them are trained as unknown.
+OTHER_IDS = ("ISC", "Zlib", "Unlicense", "EPL-2.0", "AGPL-3.0-only", "0BSD", "WTFPL", "OFL-1.1", "BSL-1.0", "EUPL-1.2", "PostgreSQL", "NCSA")
+#: Templates of so many words are names of a licence: they are trained whole, and texts that only sound like licences are made without their words.
+SHORT = 2
 #: Share of the best template's n-grams that a paragraph must hold.
 CONFIRM = 0.6
 #: Held-out paragraphs of no licence that may get a family, in the calibration of the threshold.
@@ -112,17 +140,21 @@ def _paragraphs(rng: random.Random, n: int) -> list[tuple[str, int]]:
     """Training paragraphs with the position of their family: worn copies of templates, and texts that only sound like them."""
     families = [*TEMPLATES]
     filler = "the a and of to in is that it with for on as was by this from are an be or at not have which page note report about people year time work world first new also more other".split()
-    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in re.findall(_WORD, t.lower())})
+    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts if len(t.split()) > SHORT for w in re.findall(_WORD, t.lower())})
     out = []
     for k in range(n):
         words = rng.choices(filler, k=rng.randint(0, 12))
         if k % 3:
             f = rng.randrange(len(families))
-            own = [w for w in rng.choice(TEMPLATES[families[f]]).split() if rng.random() > 0.06]
+            own = rng.choice(TEMPLATES[families[f]]).split()
+            own = own if len(own) <= SHORT else [w for w in own if rng.random() > 0.06]
             at = rng.randint(0, len(words))
             words[at:at] = own
         else:
             f = len(families)
+            if k % 15 == 0:
+                out.append((" ".join([*words, "SPDX-License-Identifier:", rng.choice(OTHER_IDS)]), f))
+                continue
             words += rng.choices(vocabulary, k=rng.randint(1, 8))
             words += [rng.choice(("license", "licensed", "copyright", "redistribution", "licence"))]
             rng.shuffle(words)
@@ -184,7 +216,7 @@ def telling_features() -> tuple[str, ...]:
     odd = lambda w: w not in ORDINARY and not w.isdigit()
     strong = [g for g, w in model.weights.items() if max(w[:-1]) - w[-1] >= TELLING]
     alone = {g for g in strong if " " not in g and odd(g) and g not in PAIRED}
-    pairs = {g for g in strong if " " in g and any(map(odd, g.split())) and not alone & set(g.split())}
+    pairs = {g for g in strong if " " in g and any(map(odd, g.split())) and not alone & set(g.split()) and g not in ORDINARY_PAIRS}
     return tuple(sorted(g for g in alone | pairs if not any(a in g for a in ANCHORS)))
 
 

@@ -1,13 +1,14 @@
 import math
+import re
 
 from pyspark.sql import functions as F
 
-from sieveline.llm.license_scan import ANCHORS, CONFIRM, TEMPLATES, grams_of, scan_licenses, train
+from sieveline.llm.license_scan import CONFIRM, TEMPLATES, gate_pattern, grams_of, scan_licenses, train
 
 
 def plain(line):
     low = line.lower()
-    if not any(a in low for a in ANCHORS):
+    if not re.search(gate_pattern(), low):
         return None
     model, grams = train(), grams_of(line)
     z = list(model.bias)
@@ -24,7 +25,7 @@ def test_every_template_has_an_anchor_and_is_named(spark, documents):
     rows, want = [], {}
     for f, texts in TEMPLATES.items():
         for t in texts:
-            assert any(a in t.lower() for a in ANCHORS)
+            assert re.search(gate_pattern(), t.lower())
             want[len(rows)] = f
             rows.append((len(rows), f"Some first line.\n{t}\nand a last line"))
     got = {r.doc_id: (r.family, r.paragraph) for r in scan_licenses(documents(rows)).collect()}
@@ -64,3 +65,14 @@ def test_planted_lines_of_the_tables_are_found(spark):
     for r in docs.collect():
         for words, family in planted.items():
             assert (words in r.text) == ((r.doc_id, family) in found)
+
+
+def test_short_statements_and_versions(documents):
+    texts = {
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl", "SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl", "SPDX-License-Identifier: CC0-1.0": "public-domain", "This code is GPLv3.": "gpl",
+        "Released under Apache 2.0": "apache", "CC BY 4.0": "cc-by", "Lizenziert unter der MIT-Lizenz": "mit", "Distributed under the GNU GPL v3": "gpl", "SPDX-License-Identifier: ISC": "unknown",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl", "The driver must hold a valid licence.": "unknown",
+    }
+    got = {r.doc_id: r.family for r in scan_licenses(documents(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(texts.values()))
+    assert scan_licenses(documents([(1, "wir gehen der mit dem Hund, unter der Bruecke")])).count() == 0
