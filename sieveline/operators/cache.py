@@ -36,15 +36,6 @@ def latest_per_key(rows: DataFrame, key: str, ts: str, *columns: str) -> DataFra
     return rows.groupBy(key).agg(F.max(F.struct(ts, *columns)).alias("_l")).select(key, f"_l.{ts}", *[f"_l.{c}" for c in columns])
 
 
-def fifo_survivors(puts: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
-    """Keys held after all puts by insertion order: the capacity + 1 with the latest first insertion (evicted before each put above capacity).
-
-    Exact for keys that do not return after their eviction; such a key counts by its first insertion. fifo_replay is exact for all.
-    """
-    firsts = puts.groupBy(key).agg(F.min(order).alias("first"))
-    return newest(firsts, capacity + 1, F.desc("first"), F.desc(key))
-
-
 def fifo_replay(puts: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
     """key, first: the keys that a bounded map holds after all puts in order, and the put that inserted each.
 

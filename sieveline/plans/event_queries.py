@@ -152,10 +152,6 @@ w AS (
 
 
 def fifo_evict(spark, d):
-    return cache.fifo_survivors(_events(spark, d), "user_id", "event_id", 50).select("user_id", "first")
-
-
-def fifo_evict_replay(spark, d):
     return cache.fifo_replay(_events(spark, d), "user_id", "event_id", 50)
 
 
@@ -175,6 +171,13 @@ _SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PART
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k"""
 
+_FIFO = """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (ORDER BY event_id) AS i FROM events),
+r AS (SELECT 0::BIGINT AS i, []::STRUCT(u BIGINT, f BIGINT)[] AS h UNION ALL
+  SELECT e.i, CASE WHEN list_contains(list_transform(t, lambda x: x.u), e.user_id) THEN t ELSE list_append(t, {'u': e.user_id, 'f': e.event_id}) END
+  FROM (SELECT i, CASE WHEN len(h) > 50 THEN h[2:] ELSE h END AS t FROM r) q JOIN e ON e.i = q.i + 1)
+SELECT x.u AS user_id, x.f AS first FROM (SELECT unnest(h) AS x FROM r WHERE i = (SELECT max(i) FROM e))"""
+
+
 QUERIES = {
     "daily_series": (daily_series, "SELECT ts::DATE AS day, count(*) AS checks, count(CASE WHEN event_type = 'error' THEN 1 END) AS scams, count(CASE WHEN event_type = 'view' THEN 1 END) AS cache_hits, round(sum(value), 4) AS value FROM events GROUP BY 1"),
     "kpi_period_over_period": (kpi_period_over_period, _KPI),
@@ -194,8 +197,7 @@ QUERIES = {
     "payload_validation": (payload_validation, "SELECT (CASE WHEN event_id % 7 = 0 THEN 400 WHEN event_id % 33 > 30 THEN 429 WHEN event_id % 7 IN (1, 2) THEN 422 ELSE 200 END)::INTEGER AS status, count(*) AS n FROM events GROUP BY 1"),
     "schema_violations": (schema_violations, "SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT coalesce(value > 0, false) THEN 'value_positive' END, CASE WHEN event_type NOT IN ('signup', 'purchase', 'view', 'click') THEN 'known_type' END, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'has_props' END, CASE WHEN NOT coalesce(json_extract_string(props, '$.k')::INTEGER < 50, false) THEN 'small_k' END], lambda x: x IS NOT NULL)) AS rule FROM events) GROUP BY 1"),
     "fixed_window_rate_limit": (fixed_window_rate_limit, _LIMIT),
-    "fifo_evict": (fifo_evict, "SELECT user_id, min(event_id) AS first FROM events GROUP BY 1 ORDER BY first DESC, user_id DESC LIMIT 51"),
-    "fifo_evict_replay": (fifo_evict_replay, None),
+    "fifo_evict": (fifo_evict, _FIFO),
     "tumbling_counts": (tumbling_counts, "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"),
     "sliding_counts": (sliding_counts, "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 DAY * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events, range(0, 2) t(k) GROUP BY 1, 2"),
     "sessionize": (sessionize, _SESSIONS),

@@ -243,17 +243,17 @@ def _merges(spark, d):
 
 
 def merge_closure(spark, d):
-    kept = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 50 = 0").select(F.col("p_name").alias("token"))
-    return dataset.merge_closure(_merges(spark, d), kept)
+    return dataset.merge_closure(_merges(spark, d), spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("token")))
 
 
 _CLOSURE = """WITH RECURSIVE m AS (SELECT DISTINCT left(p_name, i - 1) AS l, substr(p_name, i, 1) AS r, left(p_name, i) AS t FROM (SELECT p_name, unnest(range(2, length(p_name) + 1)) AS i FROM part)),
-c AS (SELECT DISTINCT p_name AS token FROM part WHERE p_partkey % 50 = 0 UNION SELECT x FROM (SELECT unnest([m.l, m.r]) AS x FROM c JOIN m ON m.t = c.token)) SELECT token FROM c"""
+c AS (SELECT DISTINCT p_name AS token FROM part UNION SELECT x FROM (SELECT unnest([m.l, m.r]) AS x FROM c JOIN m ON m.t = c.token)) SELECT token FROM c"""
 
 
 def vocab_prune(spark, d):
-    vocab = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_name").alias("token")).agg(F.min("p_partkey").alias("id"))
-    return dataset.prune_vocabulary(vocab, vocab.where("id % 3 = 0").select("token"))
+    """Names of parts as tokens; those are kept that more than one part has."""
+    vocab = spark.read.parquet(f"{d}/part.parquet").groupBy(F.col("p_name").alias("token")).agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n"))
+    return dataset.prune_vocabulary(vocab.select("token", "id"), vocab.where("n > 1").select("token"))
 
 
 def _tokenizer_file() -> str:
@@ -309,7 +309,7 @@ QUERIES = {
     "offset_to_window": (offset_to_window, None),
     "word_frequency_topk": (word_frequency_topk, r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100"),
     "merge_closure": (merge_closure, _CLOSURE),
-    "vocab_prune": (vocab_prune, "SELECT token, id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT p_name AS token, min(p_partkey) AS id FROM part GROUP BY 1) WHERE id % 3 = 0"),
+    "vocab_prune": (vocab_prune, "SELECT token, id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT p_name AS token, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1) WHERE n > 1"),
     "vocab_prune_corpus": (vocab_prune_corpus, None),
     "vocab_drift": (vocab_drift, None),
     "sequence_layout": (sequence_layout, None),

@@ -135,12 +135,12 @@ _TOKENS = "SELECT conv_id, turn || '-' || role AS token FROM conversations WHERE
 
 
 def provider_fallback(spark, d):
-    a = _events(spark, d).select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("provider"), F.when(F.pmod("event_id", F.lit(4)) == 0, 200).when(F.pmod("event_id", F.lit(4)) == 1, 429).otherwise(500).alias("status"), F.concat(F.lit("body "), F.col("event_id").cast("string")).alias("body"))
-    return requests.first_answer(a.where("ord % 16 < 3"), "user_id", F.lit("fixed"))
+    a = _events(spark, d).select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("provider"), F.when(F.pmod("event_id", F.lit(16)) == 0, 200).when(F.pmod("event_id", F.lit(4)) == 1, 429).otherwise(500).alias("status"), F.concat(F.lit("body "), F.col("event_id").cast("string")).alias("body"))
+    return requests.first_answer(a, "user_id", F.lit("fixed"))
 
 
-_PROVIDER = """SELECT user_id, coalesce(min_by('body ' || event_id, event_id) FILTER (WHERE event_id % 4 = 0), 'fixed') AS answer, coalesce(min_by(event_type, event_id) FILTER (WHERE event_id % 4 = 0), 'deterministic-fallback') AS source
-FROM events WHERE event_id % 16 < 3 GROUP BY user_id"""
+_PROVIDER = """SELECT user_id, coalesce(min_by('body ' || event_id, event_id) FILTER (WHERE event_id % 16 = 0), 'fixed') AS answer, coalesce(min_by(event_type, event_id) FILTER (WHERE event_id % 16 = 0), 'deterministic-fallback') AS source
+FROM events GROUP BY user_id"""
 
 
 def resolved_bases(spark, d):
