@@ -164,21 +164,20 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_closure(merges: DataFrame, kept: DataFrame, max_steps: int = 1024) -> DataFrame:
-    """token: the kept tokens and, to a fixed point, the parts of every merge that makes a token in the set.
+def merge_closure(merges: DataFrame, kept: DataFrame) -> DataFrame:
+    """token: the kept tokens and, to the fixed point, the parts of every merge that makes a token in the set.
 
-    merges (left, right, result), kept (token). Each step joins only the tokens of the last. Spark raises where max_steps levels
-    do not reach the fixed point.
+    merges (left, right, result), kept (token). Each step joins only the tokens that the last one found new, each once however
+    many merges lead to it, and is a reliable checkpoint where the session has a folder for those. Ends when a step finds none.
     """
-    spark = merges.sparkSession
-    merges.createOrReplaceTempView("_merges")
-    kept.select("token").distinct().createOrReplaceTempView("_kept")
-    return spark.sql(f"""
-        WITH RECURSIVE c(token, step) MAX RECURSION LEVEL {max_steps} AS (
-          SELECT token, 0 FROM _kept
-          UNION ALL
-          SELECT part, step + 1 FROM (SELECT c.step, explode(array(m.left, m.right)) AS part FROM c JOIN _merges m ON m.result = c.token)
-        ) SELECT DISTINCT token FROM c""")
+    has_folder = merges.sparkSession.sparkContext.getCheckpointDir() is not None
+    keep = lambda df: df.checkpoint() if has_folder else df.persist()
+    new = known = keep(kept.select("token").distinct())
+    while not new.isEmpty():
+        parts = new.join(merges, new["token"] == merges["result"]).select(F.explode(F.array("left", "right")).alias("token")).distinct()
+        new = keep(parts.join(known, "token", "left_anti"))
+        known = known.unionAll(new)
+    return known
 
 
 def prune_vocabulary(vocab: DataFrame, kept: DataFrame) -> DataFrame:

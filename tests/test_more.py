@@ -37,3 +37,23 @@ def test_manifests(spark):
     rows = files.parse_manifest(spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string"), "raw").orderBy("i").collect()
     assert [(r.schema, r.calibrated, r.report_only) for r in rows] == [(2, True, False), (2, False, True), (1, False, False), (1, False, False)]
     assert rows[0].by_bucket == {"noul:2": 2.0, "default": 1.5} and rows[2].by_type == [1.0, 1.0, 1.0]
+
+
+def test_pairs_within_a_few_bits_as_all_pairs(spark):
+    import random
+
+    from sieveline.operators.near_pairs import block_masks, pairs_within
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(6))) for b in base for _ in range(8)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = {(r.a, r.b): r.distance for r in pairs_within(spark.createDataFrame(list(enumerate(signed)), "k long, fp long"), "k", "fp", 3).collect()}
+    least = {}
+    for k, p in enumerate(prints):
+        least.setdefault(p, k)
+    first = sorted(least.items(), key=lambda x: x[1])
+    want = {(min(i, j), max(i, j)): (p ^ q).bit_count() for p, i in first for q, j in first if i < j and (p ^ q).bit_count() <= 3}
+    want |= {(least[p], k): 0 for k, p in enumerate(prints) if least[p] != k}
+    assert got == want
+    assert len(block_masks(3)) == 20 and len(set(block_masks(3))) == 20
