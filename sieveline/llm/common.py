@@ -70,15 +70,19 @@ def id_crc(doc_id: Column) -> Column:
 
 def steps(texts: list[str | None], chars: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """(first, end) row ranges of at most `chars` characters, each of one row at least."""
+    return ranges([len(t) if t else 0 for t in texts], chars)
+
+
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) row ranges whose sizes add up to `most` at most, each of one row at least."""
     first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and size + n > chars:
+    for i, n in enumerate(sizes):
+        if i > first and size + n > most:
             yield first, i
             first, size = i, 0
         size += n
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -127,25 +131,42 @@ class ChunkTable:
         self.rows = _Numbered()
         self.flat, self.start, self.count = Growing(self.dtype), Growing(np.int64), Growing(np.int64)
 
-    def values(self, docs: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all documents (lists of chunks) one after another, and how many each document has."""
+    def number(self, chunks: Iterable, n: int) -> np.ndarray:
+        """The row numbers of n chunks; numbers of earlier calls no longer hold."""
         if len(self.rows) > self.limit:
             self.reset()
-        docs = list(docs)
-        sizes = np.array([len(d) for d in docs], np.int64)
         known = len(self.rows)
-        ids = np.fromiter(map(self.rows.__getitem__, itertools.chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        ids = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, n)
         if len(self.rows) > known:
             made = self.make(list(itertools.islice(reversed(self.rows), len(self.rows) - known))[::-1])
             counts = np.fromiter(map(len, made), np.int64, len(made))
             self.start.extend(self.flat.n + np.cumsum(counts) - counts)
             self.count.extend(counts)
             self.flat.extend(np.fromiter(itertools.chain.from_iterable(made), self.dtype, int(counts.sum())))
+        return ids
+
+    def gather(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the rows one after another, and how many each row has."""
         each = self.count.view()[ids]
-        ends = np.cumsum(each)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start.view()[ids] - ends + each, each)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return self.flat.view()[at], np.diff(bounds)
+        return self.flat.view()[spans(self.start.view()[ids], each)], each
+
+    def values(self, docs: Iterable[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all documents (lists of chunks) one after another, and how many each document has."""
+        docs = list(docs)
+        sizes = np.array([len(d) for d in docs], np.int64)
+        flat, each = self.gather(self.number(itertools.chain.from_iterable(docs), int(sizes.sum())))
+        return flat, sums(each, sizes)
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions from each start on, as many as its count, one run after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of so many values."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(sizes)])])
 
 
 def word_hashes(words: list) -> list[int]:

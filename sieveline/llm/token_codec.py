@@ -9,6 +9,7 @@ the bit offset of every BLOCK-th token: blocks are decoded independently of each
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, delete_folder, scratch_dir, steps
+from .common import ChunkTable, delete_folder, ranges, scratch_dir, spans, sums
 
 #: Longest code in bits; also the width of the decoding table.
 MAX_BITS = 18
@@ -32,6 +34,8 @@ BLOCK = 256
 STEP = 64 * BLOCK
 #: Tokens after which a segment ends (a longer document is a segment of its own).
 SEGMENT_TOKENS = 500_000
+#: Bytes of texts that are encoded at once (a longer text by itself).
+STEP_BYTES = 1_500_000
 #: Words sent to the tokenizer as one text.
 JOINED = 40
 #: Id appended to every document.
@@ -126,18 +130,19 @@ class Codebook:
         return (found.T.reshape(-1)[:n]) >> np.uint32(5)
 
 
-#: Characters below U+0250 whose NFC form is themselves and whose lower case does not depend on neighbours; white space as the
-#: tokenizer sees it.
-_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]*")
+#: Texts of characters below U+0250 whose NFC form is themselves and whose lower case does not depend on neighbours.
+_PLAIN = re.compile("[\\x20-\\x7e\\u00a1-\\u012f\\u0131-\\u024f]*")
+#: The same for the columnar engine, as what such a text does not hold: other characters, or what may begin a special token.
+_NOT_PLAIN = r"[^\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]|<\|"
 
 
 class Encoder:
     """Whole texts to ids with a tokenizers file; the ids of pieces are remembered, up to a limit.
 
     The tokenizer drops white space and encodes each match of its splitting pattern by itself, so a text's ids are those of
-    its pieces in a row. Texts of plain characters are lower-cased and cut by the file's own pattern; other texts (marks,
-    scripts whose forms depend on neighbours, special tokens) are cut at spaces and line ends only, and each chunk goes to the
-    library as it is. New words go to the library many at a time.
+    its chunks between white space in a row. Each distinct chunk of a call is worked on once: chunks of plain characters are
+    lower-cased and cut by the file's own pattern into pieces; others (marks, scripts whose forms depend on neighbours, special
+    tokens) go to the library as they are. New pieces go to the library many at a time.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, limit: int = 1_000_000):
@@ -150,11 +155,11 @@ class Encoder:
         self.last = _word_ends(file) if self.pattern is not None else None
         self.table = ChunkTable(self._ids, np.int32, limit)
 
-    def _ids(self, pieces: list[str | None]) -> list:
+    def _ids(self, pieces: list[str]) -> list:
         """The ids of each piece; runs of plain words go to the library as one text, whose ids are cut at the ends of words."""
-        out: list = [[self.end_id]] * len(pieces)
-        words = [i for i, p in enumerate(pieces) if p is not None and self.last is not None and p.isalpha() and _PLAIN.fullmatch(p)]
-        alone = sorted({i for i, p in enumerate(pieces) if p is not None}.difference(words))
+        out: list = [[]] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if self.last is not None and p.isalpha() and _PLAIN.fullmatch(p)]
+        alone = sorted({i for i, p in enumerate(pieces) if p != "\n"}.difference(words))
         for at in range(0, len(words), 4000):
             runs = [words[i : i + JOINED] for i in range(at, min(at + 4000, len(words)), JOINED)]
             for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
@@ -173,23 +178,43 @@ class Encoder:
                 out[i] = found.ids
         return out
 
-    def _cut(self, text: str | None) -> list[str | None]:
-        if not text:
-            return [None]
-        if self.pattern is not None and "<|" not in text and _PLAIN.fullmatch(text):
-            pieces = self.pattern.findall(text.lower())
+    def _chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, where those of each begin and how many they are."""
+        if self.pattern is None:
+            plain = np.zeros(len(chunks), bool)
         else:
-            pieces = text.replace("\n", " ").split(" ")
-        pieces.append(None)
-        return pieces
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            plain = ~pc.match_substring_regex(chunks, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+        first, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        pieces: list = []
+        if len(first):  # each chunk's pieces, then a line end, which has no ids
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), chunks.take(pa.array(first))), "\n")[0].as_py()
+            pieces = self.pattern.findall(lines.lower() + "\n")
+        found = self.table.number(itertools.chain(pieces, chunks.take(pa.array(others)).to_pylist()), len(pieces) + len(others))
+        flat, each = self.table.gather(found)
+        sizes = np.ones(len(others), np.int64)
+        if len(first):
+            breaks = np.flatnonzero(found[: len(pieces)] == found[len(pieces) - 1])
+            sizes = np.concatenate([np.diff(breaks, prepend=-1), sizes])
+        counts = sums(each, sizes)
+        starts, place = np.cumsum(counts) - counts, np.empty(len(chunks), np.int64)
+        place[np.concatenate([first, others])] = np.arange(len(chunks))
+        return flat, starts[place], counts[place]
+
+    def encode(self, texts: list[str | None] | pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, the end id after each, and the number of ids of each."""
-        return self.table.values(map(self._cut, texts))
+        cut = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        found = cut.flatten().dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
+        flat, starts, counts = self._chunks(found.dictionary)
+        end = len(found.dictionary)  # a further chunk, which ends each text
+        chunks = np.insert(found.indices.to_numpy().astype(np.int64), np.cumsum(sizes), end)
+        flat, starts, counts = np.append(flat, np.int32(self.end_id)), np.append(starts, len(flat)), np.append(counts, 1)
+        each = counts[chunks]
+        return flat[spans(starts[chunks], each)], sums(each, sizes + 1)
 
 
 def _split_pattern(file: dict) -> re.Pattern | None:
-    """The splitting pattern, for plain characters, of a file that lower-cases, keeps matches only and then takes their bytes; else None."""
+    """The splitting pattern, for plain characters, or a line end; of a file that lower-cases, keeps matches only and then takes their bytes; else None."""
     kinds = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
     split = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
     if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in split] != ["Split", "ByteLevel"] or split[1]["use_regex"] or split[1]["add_prefix_space"]:
@@ -200,7 +225,7 @@ def _split_pattern(file: dict) -> re.Pattern | None:
     pattern = split[0]["pattern"]["Regex"]
     for name, kind in (("\\p{L}", "L"), ("\\p{N}", "N")):
         pattern = pattern.replace(name, "".join(c for c in chars if unicodedata.category(c)[0] == kind))
-    return re.compile(pattern)
+    return re.compile(pattern + "|\n")
 
 
 def _word_ends(file: dict) -> np.ndarray | None:
@@ -268,11 +293,11 @@ def _tokenise(ordered: DataFrame, tokenizer: str, segment_tokens: int) -> DataFr
             return row
 
         for b in batches:
-            texts, ids = b["text"].to_pylist(), b["doc_id"].to_pylist()
-            for i, j in steps(texts, 500_000):
+            texts, ids = b["text"], b["doc_id"].to_pylist()
+            for i, j in ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), STEP_BYTES):
                 if sum(map(len, held)) >= segment_tokens:
                     yield segment()
-                found, n = encoder.encode(texts[i:j])
+                found, n = encoder.encode(texts.slice(i, j - i))
                 names += ids[i:j]
                 sizes += n.tolist()
                 held.append(found)
