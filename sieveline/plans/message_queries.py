@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, fingerprint, plausibility, text
 from ..operators import fusion, near_pairs, routing, tier0
 from ..sources import dimensions as dim
+from ..sources.files import spread
 from ..sources.messages import MESSAGES_SQL, messages
 
 
@@ -116,7 +117,7 @@ def lexicon_family_counts(spark, d):
 def document_terms(spark, d):
     """The automaton with a dictionary of common words over whole documents."""
     terms = {"en": ["the", "and", "tion", "heed"], "de": ["der", "und", "schein"], "fr": ["les", "eaux"], "es": ["los", "ción"]}
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
     return tier0.automaton_hits(docs, "doc_id", "text", terms).groupBy("family", "term").agg(F.count(F.lit(1)).alias("docs"))
 
 
@@ -251,12 +252,12 @@ SELECT msg_id, CASE WHEN r[1].s < r[2].s THEN r[1].c END AS concept, (-r[1].s)::
 
 
 def simhash_documents(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.lpad(F.lower(F.hex(fingerprint.simhash64(F.lower("text")))), 16, "0").alias("simhash"))
 
 
 def near_duplicate_pairs(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fingerprint.simhash64(F.lower("text")).alias("fp"))
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", fingerprint.simhash64(F.lower("text")).alias("fp"))
     return near_pairs.pairs_within(docs, "doc_id", "fp", 3)
 
 

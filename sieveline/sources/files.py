@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows, dealt by key over all cores where they come in half as many splits or fewer.
+
+    For rows with much work ahead, such as messages: a table of one row group would keep all of it on one core. Tables of many
+    splits, as large ones are, stay as they are read and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object per line, by an explicit schema; blank lines are skipped, malformed ones give nulls."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dimensions import sql_values
+from .files import spread
 
 #: {p}, {a} and {n} are filled with a rate, an amount and ten digits of each order.
 PIECES = (
@@ -32,7 +33,7 @@ PIECES = (
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, text, lang, channel, ts: one message per order, two pieces for every third."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey")
     pieces = F.array(*[F.lit(p) for p in PIECES])
     key, n = F.col("o_orderkey"), F.lit(len(PIECES))
     first = F.element_at(pieces, (F.pmod(key, n) + 1).cast("int"))
