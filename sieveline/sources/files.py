@@ -16,6 +16,23 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if 2 * rows.rdd.getNumPartitions() <= cores else rows
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, whatever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _at(spark, path)
+    return files.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder; one that is not there is none to delete."""
+    where, files = _at(spark, path)
+    files.delete(where, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object per line, by an explicit schema; blank lines are skipped, malformed ones give nulls."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

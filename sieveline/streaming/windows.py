@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.files import delete, exists
+
 
 def _watermarked(events: DataFrame, late: str | None) -> DataFrame:
     return events.withWatermark("ts", late) if late and events.isStreaming else events
@@ -66,17 +68,50 @@ def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def upsert_sink(stream: DataFrame, path: str, checkpoint: str):
+#: Parts of the verdict table by the hash of a verdict's key; a batch of writes rewrites only the parts that it touches.
+BUCKETS = 256
+_VERDICTS = "hash string, rung string, hits bigint, updated_at timestamp"
+
+
+def _versions(spark: SparkSession, path: str, epoch: int) -> dict[int, int]:
+    """The version that each bucket has after a batch: at most one entry a bucket."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/manifest/v={epoch}").collect()} if epoch >= 0 else {}
+
+
+def _parts(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame:
+    found = [f"{path}/data/v={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(_VERDICTS).parquet(*found) if found else spark.createDataFrame([], _VERDICTS)
+
+
+def read_verdicts(spark: SparkSession, path: str, epoch: int) -> DataFrame:
+    """The verdict table as it is after a batch, which is one of the last two."""
+    return _parts(spark, path, _versions(spark, path, epoch))
+
+
+def upsert_sink(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
     """Keeps a verdict table (hash, rung, hits, updated_at) up to date from a stream of writes (hash, rung, ts).
 
-    Each batch merges into a new version of the table, so that a batch that is repeated after a failure gives the same version.
+    The table is cut into buckets by hash. A batch reads and writes the buckets that its rows fall into, then a manifest with the
+    version of every bucket, which makes it visible at once. It starts from the manifest of the batch before, so one that is
+    repeated after a failure gives the same table. What only older manifests name is deleted; a null hash is a key like others.
     """
     from ..operators.cache import upsert
 
+    bucket = F.pmod(F.crc32(F.coalesce("hash", F.lit(""))), F.lit(buckets)).cast("int").alias("bucket")
+
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        empty = spark.createDataFrame([], "hash string, rung string, hits bigint, updated_at timestamp")
-        before = spark.read.parquet(f"{path}/v={epoch - 1}") if epoch else empty
-        upsert(before, batch).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        before = _versions(spark, path, epoch - 1)
+        touched = {r["bucket"] for r in batch.select(bucket).distinct().collect()}
+        old = _parts(spark, path, {b: v for b, v in before.items() if b in touched})
+        upsert(old, batch).select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={epoch}")
+        after = before | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(sorted(after.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={epoch}")
+        if epoch >= 2 and exists(spark, f"{path}/manifest/v={epoch - 2}"):
+            older = _versions(spark, path, epoch - 2)
+            for b in older:
+                if older[b] != before[b]:
+                    delete(spark, f"{path}/data/v={older[b]}/bucket={b}")
+            delete(spark, f"{path}/manifest/v={epoch - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 """Known values, and plain versions of what SQL cannot express."""
 
+import datetime
 import hashlib
 import random
 
@@ -130,5 +131,26 @@ def test_upsert_stream(spark, tmp_path):
     query = streams.upsert_sink(stream, str(tmp_path / "out"), str(tmp_path / "ck")).start()
     query.processAllAvailable()
     query.stop()
-    got = {r.hash: (r.rung, r.hits) for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()}
+    got = {r.hash: (r.rung, r.hits) for r in streams.read_verdicts(spark, str(tmp_path / "out"), 0).collect()}
     assert got == {"a": ("unclear", 2), "b": ("caution", 1)}
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    rng, out = random.Random(3), str(tmp_path / "out")
+    schema = "hash string, rung string, ts timestamp"
+    batches = [[(f"h{rng.randrange(40)}", rng.choice(["caution", "unclear"]), datetime.datetime(2026, 1, 1 + k, i)) for i in range(6)] for k in range(5)]
+    batches[3].append((None, "caution", datetime.datetime(2026, 1, 4)))
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        query = streams.upsert_sink(stream, out, str(tmp_path / "ck"), 16).trigger(availableNow=True).start()
+        query.awaitTermination()
+    want = {}
+    for h, r, t in sorted((x for b in batches for x in b), key=lambda x: (x[2], x[1])):
+        want[h] = (r, want.get(h, ("", 0))[1] + 1, t)
+    assert {r.hash: (r.rung, r.hits, r.updated_at) for r in streams.read_verdicts(spark, out, 4).collect()} == want
+    written = {p.parent.name: {c.name for c in p.parent.glob("bucket=*")} for p in (tmp_path / "out" / "data").glob("v=*/bucket=*")}
+    assert all(len(names) < 16 for names in written.values())
+    assert sorted(p.name for p in (tmp_path / "out" / "manifest").iterdir()) == ["v=3", "v=4"]
+    held = {(b, v) for e in (3, 4) for b, v in streams._versions(spark, out, e).items()}
+    assert {(int(c[7:]), int(v[2:])) for v, names in written.items() for c in names} == held
