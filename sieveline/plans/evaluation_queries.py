@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evals, predictions
+from ..sources import dimensions as dim
 from .model_queries import _L, _M, _confidence, _labelled, _scored
 
 _NOUL = ("pay_to_withdraw", "otp", "secrecy", "selling")
@@ -86,6 +87,11 @@ def gate_failures(spark, d):
     return predictions.failures(evals.gates(found, {"accuracy_overall": 0.05})).select("passed", F.array_join("failures", ",").alias("failures"))
 
 
+_FAILURES = f"""WITH v AS (SELECT name, value FROM ({_METRICS}) UNION ALL SELECT name, value FROM ({_WORST})),
+g AS (SELECT g.name, coalesce(CASE WHEN g.name LIKE '%\\_max' ESCAPE '\\' THEN value <= threshold ELSE value >= threshold END, false) AS ok FROM (SELECT * FROM {dim.sql_values(list((evals.GATES | {"accuracy_overall": 0.05}).items()), "g(name, threshold)")}) g LEFT JOIN v USING (name))
+SELECT bool_and(ok) AS passed, coalesce(string_agg(CASE WHEN NOT ok THEN name END, ',' ORDER BY name), '') AS failures FROM g"""
+
+
 def ece_report(spark, d):
     return predictions.ece_report(_confidence(spark, d)).select("bucket", "n", *[F.round(c, 6).alias(c) for c in ("ece", "mean_confidence", "accuracy")])
 
@@ -108,7 +114,7 @@ QUERIES = {
     "decode_predictions": (decode_predictions, _DECODE),
     "eval_metrics": (eval_metrics, _METRICS),
     "worst_groups": (worst_groups, _WORST),
-    "gate_failures": (gate_failures, None),
+    "gate_failures": (gate_failures, _FAILURES),
     "ece_report": (ece_report, _REPORT),
     "risk_coverage": (risk_coverage, _RISK),
 }

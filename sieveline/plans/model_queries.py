@@ -220,9 +220,34 @@ def transcript_windows(spark, d):
     return windows.windows(_transcripts(spark, d), "conv_id", "text").select("conv_id", "index", "start", "stop", "units", "strategy", "left_out")
 
 
+_BREAK = "chr(1)"  # stands where a unit begins
+_MARK = lambda pattern, new: f"string_split(regexp_replace(t, '{pattern.replace(chr(39), chr(39) * 2)}', {new}, 'g'), {_BREAK})"
+_TURNS = _MARK("(?i)(^|\\n)(" + windows.TURN.pattern.removeprefix("(^|\\n)") + ")", f"'\\1' || {_BREAK} || '\\2'")
+_ENDED = lambda pattern: f"list_filter({_MARK(f'({pattern})', f'{chr(39)}{chr(92)}1{chr(39)} || {_BREAK}')}, lambda x: x <> '')"
+#: Windows by a recursion: the next one begins where at most 120 characters of whole units overlap, one unit on at least, and holds
+#: as many whole units as fit into 900 characters, one at least.
+_WINDOWS = f"""RECURSIVE c AS (SELECT conv_id, replace(replace(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+k AS (SELECT conv_id, t, length(t) AS n, {_TURNS} AS turns, {_ENDED(windows.PARAGRAPH.pattern)} AS paragraphs, {_ENDED(windows.SENTENCE.pattern)} AS sentences, ceil(length(t) / ceil(length(t) / 900.0::DOUBLE))::BIGINT AS step FROM c),
+s AS (SELECT *, CASE WHEN n <= 900 THEN 'single' WHEN len(turns) > 2 THEN 'turns' WHEN len(paragraphs) > 1 THEN 'paragraphs' WHEN len(sentences) > 1 THEN 'sentences' ELSE 'hard' END AS strategy FROM k WHERE n > 0),
+p AS (SELECT conv_id, strategy, n, t, CASE strategy WHEN 'turns' THEN length(turns[1]) ELSE 0 END AS shift,
+  CASE strategy WHEN 'turns' THEN turns[2:] WHEN 'paragraphs' THEN paragraphs WHEN 'sentences' THEN sentences ELSE list_transform(range(0, n, step), lambda i: substr(t, i + 1, step)) END AS pieces FROM s),
+u AS (SELECT conv_id, strategy, shift, list_transform(range(0, len(pieces) + 1), lambda i: coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0)::BIGINT) AS b FROM p WHERE strategy <> 'single'),
+w AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS f, greatest(1, len(list_filter(b, lambda v: v <= 900)) - 1)::BIGINT AS e FROM u
+  UNION ALL SELECT conv_id, i + 1, g, greatest(g + 1, len(list_filter(b, lambda v: v <= b[g + 1] + 900)) - 1)::BIGINT
+  FROM (SELECT conv_id, b, i, greatest(f + 1, len(list_filter(b, lambda v: v < b[e + 1] - 120)))::BIGINT AS g FROM w JOIN u USING (conv_id) WHERE e < len(b) - 1)),
+a AS (SELECT conv_id, i, shift + b[f + 1] AS start, shift + b[e + 1] AS stop, e - f AS units, strategy, count(*) OVER (PARTITION BY conv_id) AS total FROM w JOIN u USING (conv_id)),
+windows AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER AS index, start::BIGINT AS start, stop::BIGINT AS stop, units::INTEGER AS units, strategy, greatest(0, total - 8)::INTEGER AS left_out FROM a WHERE i < 4 OR i >= total - 4
+  UNION ALL SELECT conv_id, 0, 0, n, 1, strategy, 0 FROM p WHERE strategy = 'single' AND trim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12)) <> '')"""
+
+
 def lens_aggregate(spark, d):
     rows = windows.windows(_transcripts(spark, d), "conv_id", "text").select("conv_id", "index", (F.pmod(F.length("text") * 7 + F.col("index"), F.lit(100)) / 100).alias("p"), (F.pmod(F.length("text"), F.lit(4)) == 0).alias("abstained"))
-    return windows.lens(rows, "conv_id", "p", "p")
+    return windows.lens(rows, "conv_id", "p", "p").withColumn("mean_promotion", F.round("mean_promotion", 9))
+
+
+_LENS = f"""WITH {_WINDOWS}, x AS (SELECT conv_id, index, (((stop - start) * 7 + index) % 100) / 100.0::DOUBLE AS p, (stop - start) % 4 = 0 AS abstained FROM windows)
+SELECT conv_id, round(avg(p) FILTER (WHERE NOT abstained), 9) AS mean_promotion, count(*) AS windows, count(CASE WHEN abstained THEN 1 END) AS abstained,
+  first(index ORDER BY p DESC, index) FILTER (WHERE NOT abstained) AS worst, min(index) FILTER (WHERE NOT abstained) AS headline FROM x GROUP BY conv_id"""
 
 
 def offset_to_window(spark, d):
@@ -231,6 +256,10 @@ def offset_to_window(spark, d):
     return windows.window_of(offsets, w, "conv_id").select("conv_id", "pos", "index")
 
 
+_OFFSETS = f"""WITH {_WINDOWS}, o AS (SELECT conv_id, unnest(range(0, max(stop), 250)) AS pos FROM windows GROUP BY conv_id)
+SELECT conv_id, pos, index FROM o JOIN windows USING (conv_id) WHERE pos >= start AND pos < stop"""
+
+
 def word_frequency_topk(spark, d):
     return dataset.word_counts(spark.read.parquet(f"{d}/documents.parquet"), "text").orderBy(F.desc("n"), "word").limit(100)
 
@@ -282,6 +311,15 @@ def sequence_layout(spark, d):
     return out.select("doc_id", F.size("ids").alias("size"), F.size("markers").alias("markers"), F.aggregate("markers", F.lit(0), lambda a, b: a + b).alias("marker_sum"))
 
 
+#: Only sizes count: an option of i * 3 on has 60 characters at most, of which 48 are taken behind its mask.
+_LAYOUT = """WITH d AS (SELECT doc_id, length(text) AS n, doc_id % 5 + 2 AS k FROM documents WHERE text IS NOT NULL),
+o AS (SELECT *, list_transform(range(1, k + 1), lambda i: 1 + least(48, greatest(0, n - i * 3 + 1))) AS cut FROM d),
+f AS (SELECT doc_id, n, CASE WHEN 128 - list_sum(cut) < 16 THEN list_transform(cut, lambda c: least(c, greatest(4, 112 // k))) ELSE cut END AS final FROM o),
+h AS (SELECT *, least(n, 40, greatest(8, 128 - list_sum(final))) + 2 AS front FROM f),
+b AS (SELECT *, front + list_sum(final) + 1 AS body, list_filter(list_transform(range(0, len(final)), lambda i: front + coalesce(list_sum(final[1:i]), 0)), lambda m: m < 512) AS marks FROM h)
+SELECT doc_id, least(512, body + least(n, greatest(0, 511 - body)) + 1)::INTEGER AS size, len(marks)::INTEGER AS markers, coalesce(list_sum(marks), 0)::INTEGER AS marker_sum FROM b"""
+
+
 QUERIES = {
     "softmax_decode": (softmax_decode, f"WITH {_P} SELECT vec_id, (i - 1)::INTEGER AS option, round(p[i], 9) AS p FROM p, range(1, 13) t(i) WHERE i <= k"),
     "entropy_confidence": (entropy_confidence, f"WITH {_P} SELECT vec_id, round(1 + list_sum(list_transform(p, lambda v: v * ln(greatest(v, 1e-12)))) / ln(k), 8) AS entropy, round(conf, 8) AS conf FROM c"),
@@ -304,13 +342,13 @@ QUERIES = {
     "prefix_dedupe": (prefix_dedupe, "SELECT left(lower(text), 24) AS prefix, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1"),
     "variant_expansion": (variant_expansion, _VARIANTS),
     "transcript_hard_split": (transcript_hard_split, _HARD),
-    "transcript_windows": (transcript_windows, None),
-    "lens_aggregate": (lens_aggregate, None),
-    "offset_to_window": (offset_to_window, None),
+    "transcript_windows": (transcript_windows, f"WITH {_WINDOWS} SELECT * FROM windows"),
+    "lens_aggregate": (lens_aggregate, _LENS),
+    "offset_to_window": (offset_to_window, _OFFSETS),
     "word_frequency_topk": (word_frequency_topk, r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\S+')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100"),
     "merge_closure": (merge_closure, _CLOSURE),
     "vocab_prune": (vocab_prune, "SELECT token, id, row_number() OVER (ORDER BY id) - 1 AS new_id FROM (SELECT p_name AS token, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1) WHERE n > 1"),
     "vocab_prune_corpus": (vocab_prune_corpus, None),
     "vocab_drift": (vocab_drift, None),
-    "sequence_layout": (sequence_layout, None),
+    "sequence_layout": (sequence_layout, _LAYOUT),
 }
