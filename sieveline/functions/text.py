@@ -103,9 +103,15 @@ def xml_escape(text: Column) -> Column:
     return text
 
 
+def one_decimal(v: Column) -> Column:
+    """The nearest number of one decimal to the exact value of a non-negative double; halves go up."""
+    half = F.pmod(v * 4, F.lit(2.0)) == 1
+    return F.replace(F.format_number(F.when(half, v + 0.01).otherwise(v), 1), F.lit(","), F.lit(""))
+
+
 def percent_label(v: Column) -> Column:
     """One decimal below 1000 %, rounded whole numbers below a million, else a word."""
-    return F.when(v >= 1e6, "astronomically").when(v >= 1000, F.concat(indian_grouping(F.round(v).cast("bigint")), F.lit("%"))).otherwise(F.format_string("%.1f%%", v))
+    return F.when(v >= 1e6, "astronomically").when(v >= 1000, F.concat(indian_grouping(F.round(v).cast("bigint")), F.lit("%"))).otherwise(F.concat(one_decimal(v), F.lit("%")))
 
 
 def indian_grouping(n: Column) -> Column:
@@ -116,7 +122,7 @@ def indian_grouping(n: Column) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    return F.when(n >= 1e5, F.concat(F.format_string("%.1f", n / 1e5), F.lit("L"))).when(n >= 1e3, F.concat(F.format_string("%.1f", n / 1e3), F.lit("k"))).otherwise(n.cast("bigint").cast("string"))
+    return F.when(n >= 1e5, F.concat(one_decimal(n / 1e5), F.lit("L"))).when(n >= 1e3, F.concat(one_decimal(n / 1e3), F.lit("k"))).otherwise(n.cast("bigint").cast("string"))
 
 
 def short_label(s: Column) -> Column:

@@ -273,6 +273,11 @@ def percent_labels(spark, d):
     return c.select("c_custkey", text.percent_label(F.col("v")).alias("label"), text.short_label(F.col("c_name")).alias("short"))
 
 
+_PERCENT = """WITH v AS (SELECT c_custkey, c_name, abs(c_acctbal) * pow(10.0::DOUBLE, c_custkey % 5 - 2) AS v FROM customer), n AS (SELECT *, round(v)::BIGINT::VARCHAR AS s FROM v), h AS (SELECT *, left(s, length(s) - 3) AS h FROM n)
+SELECT c_custkey, CASE WHEN v >= 1e6 THEN 'astronomically' WHEN v >= 1000 THEN CASE WHEN length(h) > 2 THEN left(h, length(h) - 2) || ',' || right(h, 2) ELSE h END || ',' || right(s, 3) || '%'
+  ELSE printf('%.1f', CASE WHEN (v * 4) % 2 = 1 THEN v + 0.01 ELSE v END) || '%' END AS label, CASE WHEN length(c_name) > 11 THEN left(c_name, 10) || '…' ELSE c_name END AS short FROM h"""
+
+
 QUERIES = {
     "rung_distribution": (rung_distribution, f"WITH {_EVIDENCE} SELECT rung, count(*) AS messages, round(avg(score), 6) AS avg_score, max(families) AS max_families FROM verdicts GROUP BY rung"),
     "normalize_messages": (normalize_messages, f"WITH {_NORM} SELECT msg_id, norm, obfuscation FROM norm"),
@@ -309,5 +314,5 @@ SELECT period, CASE WHEN annual > 200 THEN 'impossible' WHEN annual > 30 THEN 'i
     "simhash_documents": (simhash_documents, None),
     "near_duplicate_pairs": (near_duplicate_pairs, None),
     "spoken_cleaning": (spoken_cleaning, _SPOKEN),
-    "percent_labels": (percent_labels, None),
+    "percent_labels": (percent_labels, _PERCENT),
 }

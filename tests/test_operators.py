@@ -27,6 +27,7 @@ def test_normalisation(spark):
 
 def test_percent_and_number_labels(spark):
     assert [one(spark, v, text.percent_label, "double") for v in (12.34, 1234567.0, 123456.0, 999.94)] == ["12.3%", "astronomically", "1,23,456%", "999.9%"]
+    assert [one(spark, v, text.percent_label, "double") for v in (0.15, 0.25, 0.35, 999.96, 1.25, 2.75)] == ["0.1%", "0.3%", "0.3%", "1000.0%", "1.3%", "2.8%"]
     assert [one(spark, v, text.short_number, "double") for v in (250000.0, 1500.0, 12.0)] == ["2.5L", "1.5k", "12"]
 
 
