@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import market, questions, routing, tier0, tokenizer
 from ..sources import dimensions as dim
 from ..sources.messages import messages
+from .event_queries import _DRAWS
 from .message_queries import _EVIDENCE
 
 
@@ -52,6 +53,15 @@ def market_paths(spark, d):
     return market.outcome(market.paths(spark, 7, 2), 2).select(F.round("hold", 4).alias("hold"), F.round("panic", 4).alias("panic"))
 
 
+_STEPS, _CRASH = 2 * market.DAYS, int(2 * market.DAYS * 0.3)
+_MARKET = f"""WITH {_DRAWS.format(seed=7, end=2 * market.PATHS * _STEPS + 1)},
+z AS (SELECT u.id // 2 AS id, sqrt(-2 * ln(u.x + 1e-12)) * cos(2 * pi() * v.x) AS z FROM draws u JOIN draws v ON v.id = u.id + 1 WHERE u.id % 2 = 1),
+m AS (SELECT id // {_STEPS} AS path, id % {_STEPS} AS i, {market.DRIFT / market.DAYS!r}::DOUBLE + {market.VOLATILITY / market.DAYS**0.5!r}::DOUBLE * z - CASE WHEN id % {_STEPS} BETWEEN {_CRASH} AND {_CRASH + market.SHOCK_DAYS - 1} THEN {market.SHOCK}::DOUBLE ELSE 0 END AS move FROM z),
+p AS (SELECT path, i, 100 * exp(sum(move) OVER (PARTITION BY path ORDER BY i)) AS value FROM m),
+e AS (SELECT path, max_by(value, i) AS final, min_by(value, i) FILTER (WHERE i > {_CRASH} AND value < {market.PANIC}) AS sold FROM p GROUP BY path)
+SELECT round(avg(final), 4) AS hold, round(avg(coalesce(sold * {market.DEPOSIT ** ((_STEPS - _CRASH) / market.DAYS)!r}::DOUBLE, final)), 4) AS panic FROM e"""
+
+
 def concept_fallback(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     names = ["guaranteed", "vip_tips", "nav", "exit_load", "basics", "risk", "sip"]
@@ -87,7 +97,7 @@ QUERIES = {
     "bank_validation": (bank_validation, "SELECT * FROM (VALUES ('demo', 'fee', 'instructions'), ('demo', 'fee', 'triage_key'), ('demo', 'risk', 'options')) v(bank, qid, rule)"),
     "explain_fallback": (explain_fallback, _EXPLAIN),
     "spoken_lines": (spoken_lines, _SPOKEN),
-    "market_paths": (market_paths, None),
+    "market_paths": (market_paths, _MARKET),
     "concept_fallback": (concept_fallback, _FALLBACK),
     "command_search": (command_search, "SELECT concept, count(*) AS keys FROM " + "(SELECT * FROM " + dim.sql_values([(c, i, k) for i, (c, _, ks) in enumerate(dim.CONCEPTS) for k in ks], "c(concept, ord, key)") + ") WHERE contains(lower(concept), 'ip') OR contains(lower(key), 'ip') GROUP BY concept, ord ORDER BY ord LIMIT 9"),
     "bpe_encode": (bpe_encode, None),

@@ -72,12 +72,13 @@ def prng_mulberry32(spark, d):
 
 
 _IMUL = "(({a} & 65535) * ({b}) + ((((({a}) >> 16) * (({b}) & 65535)) & 65535) << 16)) & 4294967295"
-_PRNG = (
-    "WITH s AS (SELECT i AS id, (1930::BIGINT + i * 1831565813) & 4294967295 AS s FROM range(1, 2001) t(i)), "
+_DRAWS = (
+    "s AS (SELECT i AS id, ({seed}::BIGINT + i * 1831565813) & 4294967295 AS s FROM range(1, {end}) t(i)), "
     "a AS (SELECT id, " + _IMUL.format(a="xor(s, s >> 15)", b="s | 1") + " AS t FROM s), "
     "b AS (SELECT id, t, (t + (" + _IMUL.format(a="xor(t, t >> 7)", b="t | 61") + ")) & 4294967295 AS u FROM a), "
-    "c AS (SELECT id, xor(u, t) AS t FROM b) SELECT id, xor(t, t >> 14) / 4294967296.0::DOUBLE AS x FROM c"
+    "c AS (SELECT id, xor(u, t) AS t FROM b), draws AS (SELECT id, xor(t, t >> 14) / 4294967296.0::DOUBLE AS x FROM c)"
 )
+_PRNG = f"WITH {_DRAWS.format(seed=1930, end=2001)} SELECT id, x FROM draws"
 
 
 def recent_checks_page(spark, d):
