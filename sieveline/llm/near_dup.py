@@ -7,8 +7,8 @@ several independent trees: every node draws positions of the minwise tokens by i
 
 A node of at most SMALL classes is compared exhaustively: sketches tell which of its classes hang together by plausible pairs,
 and each such cluster is confirmed on full sets, all of its pairs at once. Larger nodes are first cut into random blocks, each
-with the node's pivot; then the classes outside the pivot's component are compared with all of the node, block by block, or
-the node recurses if those are many. Within one component no comparison can change the result.
+with the node's pivot; then the classes outside the node's largest component are compared with all of the node, block by block,
+or the node recurses if those are many. Within one component no comparison can change the result.
 
 No pair ever leaves a task. What goes from step to step is a row for each class of a cluster, and a star of links for each
 component found in it. The same cluster met in several nodes is confirmed once; the clusters of the first tree come first, so
@@ -42,7 +42,7 @@ TREES = 4
 BRANCHES = (3, 3, 1.2)
 #: Classes up to which a node is compared exhaustively.
 SMALL = 400
-#: Comparisons by sketch, of a large node's classes outside the pivot's component with all, up to which it does not recurse.
+#: Comparisons by sketch, of a large node's classes outside its largest component with all, up to which it does not recurse.
 CROSS = 10_000_000
 #: Levels of recursion; nodes that are still large and mixed at the last one are compared exhaustively, block by block.
 LEVELS = 12
@@ -433,18 +433,30 @@ def _blocks(large: DataFrame) -> DataFrame:
     return own.unionAll(pivots).select(F.xxhash64("node", "block").alias("run"), "turn", "key", "n")
 
 
+def _weighed(large: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows (node, turn, key, kid, n) of the nodes that hold several components, with root, and for the node main, members and outside.
+
+    main is the root of the node's largest component, members its rows, outside those of the other components. They are sums over
+    (node, root), so that no task gets a whole node, and are written before the one join, which broadcasts them while they are few.
+    """
+    rooted = _rooted(large.select("node", "turn", "key", "kid", "n"), roots)
+    parts = rooted.groupBy("node", "root").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = parts.groupBy("node").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.sum("rows").alias("members"), (F.sum("rows") - F.max("rows")).alias("outside"))
+    nodes = materialise(nodes.where("outside > 0"), "nodes")
+    mixed = materialise(rooted.join(nodes, "node"), "mixed")
+    discard(nodes)
+    return mixed
+
+
 def _outsiders(mixed: DataFrame, cross: int | None) -> tuple[DataFrame, DataFrame]:
-    """Runs (run, turn, key, n, root) that compare each class outside its pivot's component with all of the node; and the other nodes' rows.
+    """Runs (run, turn, key, n, root) that compare each class outside its node's largest component with all of the node; and the other nodes' rows.
 
-    mixed has node, turn, key, kid, pivot, n and root. A run is a block of about OUTSIDERS outsiders with a block of as many of
-    all, so that no task gets a whole node. Nodes whose outsiders times members exceed cross are left for the recursion.
+    mixed is as _weighed gives it. A run is a block of about OUTSIDERS outsiders with a block of as many of all, so that no task
+    gets a whole node. Nodes whose outsiders times members exceed cross are left for the recursion.
     """
-    pivots = mixed.where("kid = pivot").select("node", F.col("root").alias("_p"))
-    rows = mixed.join(pivots, "node").withColumn("_out", F.col("root") != F.col("_p"))
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_m"), F.count_if("_out").alias("_o"))
-    rows = rows.join(sizes, "node")
-    within = F.lit(True) if cross is None else F.col("_m") * F.col("_o") <= cross
-    few = rows.where(within).withColumns({"_i": F.ceil(F.col("_o") / OUTSIDERS), "_j": F.ceil(F.col("_m") / OUTSIDERS)})
+    rows = mixed.withColumn("_out", F.col("root") != F.col("main"))
+    within = F.lit(True) if cross is None else F.col("members") * F.col("outside") <= cross
+    few = rows.where(within).withColumns({"_i": F.ceil(F.col("outside") / OUTSIDERS), "_j": F.ceil(F.col("members") / OUTSIDERS)})
     i, j = F.pmod(F.xxhash64("key", F.lit(1)), F.col("_i")), F.pmod(F.xxhash64("key", F.lit(2)), F.col("_j"))
     zero = F.lit(0).cast("bigint")
     left = few.where("_out").select("node", "turn", "key", "n", "root", i.alias("i"), F.explode(F.sequence(zero, F.col("_j") - 1)).alias("j"))
@@ -504,7 +516,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT)
         if not has_large:
             discard(shared)
             break
-        mixed = materialise(_mixed(large.drop("size"), links.roots, "node"), "mixed")
+        mixed = _weighed(large, links.roots)
         outside, many = _outsiders(mixed, CROSS if level + 1 < LEVELS else None)
         clusters = links.screen(outside)
         links.confirm(clusters)
