@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from sieveline.llm import near_dup
 from sieveline.llm.near_dup import near_duplicates
 from tests.llm.test_near_dup import brute, result
@@ -60,3 +61,10 @@ def test_joins_by_node_grow_with_the_rows(spark, documents, small_nodes):
         assert got == brute(rows)
         assert 0 < joined[size] <= 2 * near_dup.TREES * near_dup.BRANCHES[0] * len(rows)
     assert joined[160] <= 2.5 * joined[80]
+
+
+def test_stage_joins_by_node_within_the_rows(spark, documents, small_nodes):
+    rows = groups(160)
+    joined, got = joined_by_node(spark, lambda: sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()))
+    assert got == sorted({c for _, _, c in brute(rows, 80)})
+    assert 0 < joined <= 2 * near_dup.TREES * near_dup.BRANCHES[0] * len(rows)
